@@ -134,7 +134,7 @@ d AS (SELECT *, lag(struct_pack(ip, device, os, channel, app, click_s)) OVER (PA
   struct_pack(ip, device, os, channel, app, click_s) AS s FROM c WHERE copies > 1),
 e AS (SELECT *, last_value(CASE WHEN p IS DISTINCT FROM s THEN row_id END IGNORE NULLS) OVER
   (PARTITION BY is_train ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS start FROM d)
-SELECT c.row_id, CAST(CASE WHEN e.row_id IS NULL THEN 'NaN' ELSE e.row_id - e.start END AS DOUBLE) AS DuplicateRowIndexDiff
+SELECT c.row_id, CASE WHEN e.row_id IS NULL THEN CAST('NaN' AS DOUBLE) ELSE CAST(e.row_id - e.start AS DOUBLE) END AS DuplicateRowIndexDiff
 FROM c LEFT JOIN e ON c.row_id = e.row_id"""
 
 BAGS = """+

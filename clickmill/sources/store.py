@@ -23,15 +23,16 @@ class FeatureStore:
         return f"{self.base}/feature={name}"
 
     def finished(self, name: str) -> bool:
+        """Whether a table was written to its end; the marker is written after the table."""
         try:
-            marker = self.spark.read.format("binaryFile").load(f"{self.path(name)}/_SUCCESS")
-            return marker.select("path").limit(1).count() == 1
+            return self.spark.read.parquet(f"{self.path(name)}.done").count() > 0
         except AnalysisException:
             return False
 
     def get(self, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
         if not self.finished(name):
             compute().write.mode("overwrite").parquet(self.path(name))
+            self.spark.range(1).write.mode("overwrite").parquet(f"{self.path(name)}.done")
         return self.spark.read.parquet(self.path(name))
 
 
