@@ -34,7 +34,8 @@ def middle_delays(source: DataFrame, tag: str, keys: list[str], how: str) -> Dat
     group's history is ever held in one row.
     """
     positives = source.where("is_attributed = 1")
-    placed = add_needs(positives, tag, keys, [Before()], how, positives)
+    layout = keys[0] if how == "direct" else "chunk"
+    placed = add_needs(positives.repartition(layout), tag, keys, [Before()], how, positives)
     j = F.col(hidden(Before(), tag))
     delay = F.col("attributed_s") - F.col("click_s")
     shares = F.array(
@@ -68,7 +69,6 @@ def add_median_attribute_time(
         if cluster_key(how, lead) != clustered_on:
             clustered_on = cluster_key(how, lead)
             rows = rows.repartition(clustered_on)
-            source = source.repartition("chunk") if how == "cells" else source
         keys = [lead, *[k for k in mask if k != lead]] if lead else list(mask)
         tag = mask_suffix(mask)
         rows = add_needs(rows, tag, keys, [need], how, source).withColumnRenamed(hidden(need, tag), "_n")
@@ -79,9 +79,10 @@ def add_median_attribute_time(
         if how == "direct":
             rows = rows.join(table, [*keys, "_n"], "left")
         else:
-            asked = add_needs(source, tag, keys, [need], how, source)
+            asked = add_needs(source.repartition("chunk"), tag, keys, [need], how, source)
             asked = asked.select("chunk", *keys, F.col(hidden(need, tag)).alias("_n")).distinct()
-            rows = rows.join(asked.join(table, [*keys, "_n"]), ["chunk", *keys, "_n"], "left")
+            answers = asked.join(table, [*keys, "_n"]).repartition("chunk")
+            rows = rows.join(answers, ["chunk", *keys, "_n"], "left")
         value = F.coalesce("_middle", F.lit(NONE)).alias(feature_column(name, mask))
         rows = rows.select("*", value).drop("_n", "_middle")
     return rows.select(*clicks.columns, *[feature_column(name, mask) for mask in masks])

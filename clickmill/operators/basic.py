@@ -23,7 +23,8 @@ def add_basic_counts(clicks: DataFrame, strategy: str = "auto", chunk_rows: int
     rows = with_chunk(clicks, chunk_rows).withColumns(
         {"_day": day_of_month(F.col("click_s")), "_hour": hour_of_day(F.col("click_s"))}
     )
-    rows = source = rows.repartition("ip" if strategy == "direct" else "chunk")
+    source = rows
+    rows = rows.repartition("ip" if strategy == "direct" else "chunk")
     for name, keys in COUNTS.items():
         rows = add_needs(rows, name, keys, [Total("channels")], strategy, source)
         rows = rows.select("*", F.col(hidden(Total("channels"), name)).cast("int").alias(name))

@@ -21,8 +21,9 @@ def add_duplicate_row_index_diff(clicks: DataFrame, chunk_rows: int = CHUNK_ROWS
     They are found within each chunk; a run that goes on from an earlier chunk takes its start
     from a summary with one row per table and chunk.
     """
-    source = with_chunk(clicks, chunk_rows).repartition("chunk")
-    counted = add_needs(source, "copies", COPY_KEYS, [Total()], "cells", source)
+    source = with_chunk(clicks, chunk_rows)
+    rows = source.repartition("chunk")
+    counted = add_needs(rows, "copies", COPY_KEYS, [Total()], "cells", source)
     copies = counted.where(F.col(hidden(Total(), "copies")) > 1).withColumn("_key", F.struct(*KEYS, "click_s"))
 
     in_chunk = Window.partitionBy("chunk", "is_train").orderBy("row_id")
@@ -45,12 +46,12 @@ def add_duplicate_row_index_diff(clicks: DataFrame, chunk_rows: int = CHUNK_ROWS
     entered = entered.select(
         "is_train", "chunk", F.when(F.col("_opens"), F.col("_first")).otherwise(carried).alias("_entry")
     )
-    diffs = marked.join(entered, ["is_train", "chunk"]).select(
+    diffs = marked.join(entered.repartition("chunk"), ["is_train", "chunk"]).select(
         "chunk",
         "row_id",
         (F.col("row_id") - F.coalesce("_local", "_entry")).cast("double").alias("DuplicateRowIndexDiff"),
     )
-    out = source.join(diffs, ["chunk", "row_id"], "left")
+    out = rows.join(diffs, ["chunk", "row_id"], "left")
     return out.select(
         *clicks.columns, F.coalesce("DuplicateRowIndexDiff", F.lit(float("nan"))).alias("DuplicateRowIndexDiff")
     )

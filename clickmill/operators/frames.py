@@ -204,7 +204,9 @@ def _cells(rows: DataFrame, tag: str, keys: list[str], needs: list[Need], source
             by_order[name] = F.lead(f"_edge{need.column}", need.step).over(in_order)
     cells = _in_steps(cells, by_order, by_time, lagged)
     results = list(dict.fromkeys([*by_order, *by_time, *lagged]))
-    rows = rows.join(cells.select(*grain, *results), grain, "inner")
+    # The cells come to the clicks, which stay where they are: without the explicit chunk
+    # layout the planner could move the clicks to the cells' layout by key, hot keys included.
+    rows = rows.join(cells.select(*grain, *results).repartition("chunk"), grain, "inner")
 
     in_cell = Window.partitionBy(*grain).orderBy("row_id") if ordered else None
     final = {}

@@ -182,7 +182,6 @@ def add_grouped_features(
             # One shuffle per leading column (direct), one by chunk in all (cells).
             clustered_on = cluster_key(how, lead)
             rows = rows.repartition(clustered_on)
-            source = source.repartition("chunk") if how == "cells" else source
         for by_hour in (False, True):
             group = [f for f in wanted[mask] if f.by_hour == by_hour]
             if not group:

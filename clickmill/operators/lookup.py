@@ -34,8 +34,8 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "
     once per chunk; the answers then meet the rows on (chunk, on).
     """
     asked = rows.select("chunk", *on).distinct()
-    answers = asked.join(table, on, "inner")
-    return rows.join(answers, ["chunk", *on], how)
+    answers = asked.join(table, on, "inner").repartition("chunk", *on)
+    return rows.repartition("chunk", *on).join(answers, ["chunk", *on], how)
 
 
 def small_or_spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:

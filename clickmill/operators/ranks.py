@@ -42,7 +42,7 @@ def _score_buckets(frequencies: DataFrame, value: str, buckets: int) -> DataFram
     """Add ``_bucket``, a monotone division of the distinct values into even parts."""
     steps = [i / buckets for i in range(1, buckets)]
     edges = frequencies.agg(F.percentile_approx(value, steps, 10 * buckets).alias("e")).first()["e"] or []
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
     return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(frequencies)
 
 
@@ -64,7 +64,7 @@ def _counted(df: DataFrame, value: str, by: list[str], sums: dict, buckets: int)
     ahead = {
         f"_ahead_{n}": F.col(f"_off_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in sums
     }
-    return bucketed.join(totals, [*by, "_bucket"]).withColumns(ahead)
+    return bucketed.join(totals.repartition(*by, "_bucket"), [*by, "_bucket"]).withColumns(ahead)
 
 
 def tied_ranks(df: DataFrame, value: str, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
