@@ -69,6 +69,8 @@ def fit_with_validation(
     missing = [name for name in (*design.columns, TARGET) if name not in train.columns or name not in valid.columns]
     if missing:
         raise ValueError(f"train and valid must both have the columns {missing}")
+    if train.isEmpty() or valid.isEmpty():
+        raise ValueError("the split left no rows to train or to validate on")
     kept = [*design.columns, TARGET, *([weight] if weight else [])]
     if weight and weight not in valid.columns:
         valid = valid.withColumn(weight, F.lit(1.0))

@@ -71,5 +71,5 @@ def result_log(trials: list[dict], summary: dict, config: dict) -> str:
 
 
 def write_result_log(spark: SparkSession, text: str, path: str) -> str:
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path
