@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clickmill.functions.clock import DAY, whole_div
 from clickmill.functions.keys import all_masks, feature_column, mask_suffix
-from clickmill.operators.frames import Before, PreviousUpTo, Total, add_needs, hidden
+from clickmill.operators.frames import Before, PreviousUpTo, Total, add_needs, by_column, hidden, is_small
 from clickmill.operators.grouped import LARGEST, NONE, cluster_key, plan_masks
 from clickmill.operators.lookup import CHUNK_ROWS, with_chunk
 
@@ -64,11 +64,12 @@ def add_median_attribute_time(
     masks = [m for m in all_masks() if masks is None or m in masks]
     plan = plan_masks(clicks, masks, strategy)
     rows = source = with_chunk(clicks, chunk_rows)
+    small = strategy == "auto" and is_small(clicks)
     clustered_on = None
     for how, lead, mask in plan:
         if cluster_key(how, lead) != clustered_on:
             clustered_on = cluster_key(how, lead)
-            rows = rows.repartition(clustered_on)
+            rows = by_column(rows, clustered_on, small)
         keys = [lead, *[k for k in mask if k != lead]] if lead else list(mask)
         tag = mask_suffix(mask)
         rows = add_needs(rows, tag, keys, [need], how, source).withColumnRenamed(hidden(need, tag), "_n")

@@ -237,7 +237,7 @@ def choose_strategies(clicks: DataFrame, masks, limit: int = DIRECT_GROUP_ROWS)
     longer logs, one aggregation of the single columns; only five numbers reach the driver.
     """
     used = [key for key in KEYS if any(key in mask for mask in masks)]
-    if clicks.count() <= limit:
+    if is_small(clicks, limit):
         safe = used
     else:
         safe = [key for key in used if _largest_group(clicks, key) <= limit]
@@ -249,5 +249,20 @@ def choose_strategies(clicks: DataFrame, masks, limit: int = DIRECT_GROUP_ROWS)
     return sorted(plan, key=lambda p: (rank.get(p[1], len(KEYS)), len(p[2])))
 
 
+def is_small(clicks: DataFrame, limit: int = DIRECT_GROUP_ROWS) -> bool:
+    """Whether the whole log is no longer than one key group may be; parquet answers from its footers."""
+    return clicks.count() <= limit
+
+
+def by_column(rows: DataFrame, column: str, small: bool = False) -> DataFrame:
+    """Shuffle by ``column``. A small log is spread over all cores, since a dozen windows over few
+    bytes are work that adaptive execution, which goes by bytes, would put in one task."""
+    if not small:
+        return rows.repartition(column)
+    spark = rows.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, column)
+
+
 def _largest_group(clicks: DataFrame, key: str) -> int:
     return clicks.groupBy(key).count().agg(F.max("count")).first()[0] or 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import permutations
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from clickmill.session import cut_lineage
 PAIR_ORDER = ("ip", "app", "os", "device", "channel")
 NO_DEVICE = ("ip", "app", "os", "channel")
 SALTS = 1024
+PAIRS_AT_ONCE = 4
 
 
 def pairs(columns=PAIR_ORDER, first: str | None = None, order: str | None = None) -> list[tuple[str, str]]:
@@ -94,12 +97,19 @@ def add_latent_vectors(clicks: DataFrame, spec: LatentSpec, chunk_rows: int = CH
 
     Pairs of one document column share the lookup from clicks to values.
     """
-    rows = source = with_chunk(clicks, chunk_rows)
+    rows = with_chunk(clicks, chunk_rows)
+
+    def fitted(pair):
+        return latent_table(clicks, *pair, spec.method, spec.width, spec.min_df)
+
+    # The fits of the pairs are independent jobs; a few at a time keep the cluster busy.
+    with ThreadPoolExecutor(PAIRS_AT_ONCE) as pool:
+        tables = dict(zip(spec.pairs, pool.map(inheritable_thread_target(clicks.sparkSession)(fitted), spec.pairs)))
     names = []
     for column in dict.fromkeys(p[0] for p in spec.pairs):
         table = None
         for doc, term in (p for p in spec.pairs if p[0] == column):
-            found = latent_table(source, doc, term, spec.method, spec.width, spec.min_df)
+            found = tables[(doc, term)]
             prefix = f"{spec.name}_{doc}_{term}"
             found = found.select(F.col("doc").alias(column), *vector_columns(F.col("f"), prefix, spec.width))
             names += [f"{prefix}_{i}" for i in range(spec.width)]

@@ -1,19 +1,28 @@
-"""Topic mixtures of documents by online LDA."""
+"""Topic mixtures of documents by LDA.
+
+Up to ``MAX_VOCABULARY`` words the online fit of MLlib is used, which keeps its topics (words x k)
+on the driver. Longer vocabularies, such as the users of an app, are fitted by variational
+updates written as joins and sums, where topics and mixtures stay tables.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickmill.operators.factors import BROADCAST_FACTORS, start_factor
+from clickmill.operators.lookup import is_short
 from clickmill.session import cut_lineage
 
-# The fitted topics are a vocabulary x k matrix on the driver; more words are refused, not dropped.
-MAX_VOCABULARY = 1 << 24
+MAX_VOCABULARY = 1 << 20
+ROUNDS = 20
 BATCH = 128
 PASSES = 10
 SMALLEST_RATE = 0.05
@@ -24,15 +33,12 @@ def _sparse(size, words):
     return Vectors.sparse(size, [(w["place"], float(w["tf"])) for w in words])
 
 
-def word_vectors(terms: DataFrame, words: list[str]) -> tuple[DataFrame, int]:
+def word_vectors(terms: DataFrame, words: list[str], size: int) -> DataFrame:
     """(doc, features): one sparse count vector per document, words numbered 0 .. size-1.
 
-    A vector holds each word of the vocabulary once at most, however many clicks it counts.
+    A vector holds each of the ``size`` words once at most, however many clicks it counts.
     """
     vocabulary = terms.select(*words).distinct()
-    size = vocabulary.count()
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"{size} words; topics are fitted for at most {MAX_VOCABULARY}")
     numbered = vocabulary.withColumn("place", F.row_number().over(Window.orderBy(*words)) - 1)
     packed = (
         terms.join(numbered, words)
@@ -40,15 +46,19 @@ def word_vectors(terms: DataFrame, words: list[str]) -> tuple[DataFrame, int]:
         .agg(F.collect_list(F.struct("place", "tf")).alias("_words"))
         .withColumn("_words", F.array_sort("_words"))
     )
-    return packed.select("doc", _sparse(F.lit(size), "_words").alias("features")), size
+    return packed.select("doc", _sparse(F.lit(size), "_words").alias("features"))
 
 
 def topic_mixtures(terms: DataFrame, docs: DataFrame, k: int, words=("term",), seed: int = 71) -> DataFrame:
     """(doc, f): k topic shares for every row of ``docs``; documents without words get 1/k each."""
     uniform = F.array_repeat(F.lit(1.0 / k), k)
-    vectors, size = word_vectors(terms, list(words))
+    size = terms.select(*words).distinct().count()
     if not size:
         return docs.select("doc", uniform.alias("f"))
+    if size > MAX_VOCABULARY:
+        found = wide_mixtures(terms, k, words, seed)
+        return docs.join(found, "doc", "left").select("doc", F.coalesce("f", uniform).alias("f"))
+    vectors = word_vectors(terms, list(words), size)
     # Batches are drawn by place in a partition: a fixed layout keeps the fit repeatable.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = cut_lineage(vectors.repartition(parts, "doc").sortWithinPartitions("doc"))
@@ -60,3 +70,66 @@ def topic_mixtures(terms: DataFrame, docs: DataFrame, k: int, words=("term",), s
     shares = lda.fit(vectors).transform(vectors)
     found = shares.select("doc", vector_to_array("topicDistribution").alias("f"))
     return docs.join(found, "doc", "left").select("doc", F.coalesce("f", uniform).alias("f"))
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log-gamma for positive numbers: recurrence up to 6, then its series."""
+    shift = np.zeros_like(x)
+    x = x.copy()
+    for _ in range(6):
+        low = x < 6
+        shift[low] -= 1 / x[low]
+        x[low] += 1
+    inverse = 1 / (x * x)
+    return shift + np.log(x) - 0.5 / x - inverse * (1 / 12 - inverse * (1 / 120 - inverse / 252))
+
+
+def _expected(column: Column, totals: np.ndarray | None = None) -> Column:
+    """exp(E[log p]) of Dirichlet parameters, normalised by the row's sum or by ``totals``."""
+
+    @F.pandas_udf("array<double>")
+    def expected(f: pd.Series) -> pd.Series:
+        if not len(f):
+            return f
+        values = np.stack(f.to_numpy())
+        whole = values.sum(1, keepdims=True) if totals is None else totals[None, :]
+        return pd.Series(list(np.exp(digamma(values) - digamma(whole))))
+
+    return expected(column)
+
+
+def _weighted(entries: DataFrame, topics: DataFrame, shares: DataFrame, by: str, k: int, short: dict) -> DataFrame:
+    """(id, f): prior-free counts of each document or term, from the current topics and shares."""
+    beta, theta = topics.select(F.col("id").alias("term"), "b"), shares.select(F.col("id").alias("doc"), "t")
+    joined = entries.join(F.broadcast(beta) if short["term"] else beta, "term")
+    joined = joined.join(F.broadcast(theta) if short["doc"] else theta, "doc")
+    fit = sum(F.col("b")[i] * F.col("t")[i] for i in range(k)) + F.lit(1e-100)
+    summed = joined.select(by, "b", "t", (F.col("weight") / fit).alias("r")).groupBy(F.col(by).alias("id")).agg(
+        *[F.sum(F.col("r") * F.col("b")[i] * F.col("t")[i]).alias(f"f{i}") for i in range(k)]
+    )
+    return summed.select("id", *[F.col(f"f{i}") for i in range(k)])
+
+
+def wide_mixtures(terms: DataFrame, k: int, words=("term",), seed: int = 71) -> DataFrame:
+    """(doc, f): topic shares by batch variational updates; only k sums per round reach the driver."""
+    entries = terms.select("doc", F.struct(*words).alias("term"), F.col("tf").cast("double").alias("weight"))
+    entries = cut_lineage(entries)
+    ids = {side: entries.select(F.col(side).alias("id")).distinct() for side in ("doc", "term")}
+    short = {side: is_short(found, BROADCAST_FACTORS) for side, found in ids.items()}
+    prior = F.lit(1.0 / k)
+    topics = start_factor(ids["term"], k, seed, positive=True)
+    topics = cut_lineage(topics.select("id", F.transform("f", lambda v: v + 1).alias("f")))
+    shares = ids["doc"].select("id", F.array_repeat(F.lit(1.0), k).alias("f"))
+
+    def with_prior(counts):
+        return cut_lineage(counts.select("id", F.array(*[F.col(f"f{i}") + prior for i in range(k)]).alias("f")))
+
+    for _ in range(ROUNDS):
+        totals = np.array(topics.agg(*[F.sum(F.col("f")[i]).alias(f"s{i}") for i in range(k)]).first())
+        beta = cut_lineage(topics.select("id", _expected(F.col("f"), totals).alias("b")))
+        theta = shares.select("id", _expected(F.col("f")).alias("t"))
+        shares = with_prior(_weighted(entries, beta, theta, "doc", k, short))
+        theta = shares.select("id", _expected(F.col("f")).alias("t"))
+        topics = with_prior(_weighted(entries, beta, theta, "term", k, short))
+    whole = F.aggregate("f", F.lit(0.0), lambda total, v: total + v)
+    return shares.select(F.col("id").alias("doc"), F.transform("f", lambda v: v / whole).alias("f"))

@@ -114,7 +114,7 @@ def run_experiment(
         model = training.fit_with_validation(fit_rows, valid, design, params, rounds, seed, weight)
         best = model.getNumTrees
         both = fit_rows.withColumn("set", F.lit("train")).unionByName(valid.withColumn("set", F.lit("valid")))
-        history = training.auc_history(model, both, design).where(F.col("iteration") == best)
+        history = training.auc_history(model, both, design, only=best)
         auc = {r["set"]: r["auc"] for r in history.collect()}
         if not train_only:
             model = training.fit_all(rows, design, params, best, seed, weight)

@@ -99,15 +99,18 @@ def score(model: GBTClassificationModel, rows: DataFrame, design: Design) -> Dat
     return scored.withColumn("prediction", vector_to_array("probability")[1]).drop("features", "probability")
 
 
-def auc_history(model: GBTClassificationModel, rows: DataFrame, design: Design, by=("set",)) -> DataFrame:
-    """AUC of the first 1, 2, ... trees on each set of ``rows``: (by, iteration, auc)."""
+def auc_history(
+    model: GBTClassificationModel, rows: DataFrame, design: Design, by=("set",), only: int | None = None
+) -> DataFrame:
+    """AUC of the first 1, 2, ... trees (or of the first ``only``) on each set: (by, iteration, auc)."""
     margins = design.vectors(rows).select(*by, TARGET, "features")
     total = F.lit(0.0)
     steps = []
     for i, (tree, tree_weight) in enumerate(zip(model.trees, model.treeWeights)):
         margins = tree.setPredictionCol(f"_t{i}").transform(margins)
         total = total + F.lit(float(tree_weight)) * F.col(f"_t{i}")
-        steps.append(F.struct(F.lit(i + 1).alias("iteration"), total.alias("margin")))
+        if only is None or only == i + 1:
+            steps.append(F.struct(F.lit(i + 1).alias("iteration"), total.alias("margin")))
     long = margins.select(*by, TARGET, F.explode(F.array(*steps)).alias("s")).select(*by, TARGET, "s.*")
     return exact_auc(long, "margin", TARGET, [*by, "iteration"])
 

@@ -1,7 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
+import pytest
 from fixtures import SCHEMA, random_clicks
 
-from clickmill.operators import factors, latent
+from clickmill.operators import factors, latent, topics
 
 
 def wide_clicks(spark):
@@ -87,6 +90,37 @@ def test_user_and_item_topics(spark):
         assert abs(sum(r[f"ItemUserLDA_{i}"] for i in range(3)) - 1) < 1e-4
 
 
+def test_long_vocabularies_are_fitted_by_joins(spark, monkeypatch):
+    # Two kinds of documents with words of their own: shares must tell them apart.
+    rows = [(d, 100 + 20 * (d % 2) + w, 1 + (d + w) % 3) for d in range(20) for w in range(0, 20, 1 + d % 4)]
+    terms = spark.createDataFrame(rows, "doc int, term int, tf bigint")
+    docs = spark.createDataFrame([(d,) for d in range(21)], "doc int")
+    monkeypatch.setattr(topics, "MAX_VOCABULARY", 10)
+    monkeypatch.setattr(topics, "ROUNDS", 8)
+    got = {r.doc: r.f for r in topics.topic_mixtures(terms, docs, 2).collect()}
+    assert len(got) == 21 and got[20] == [0.5, 0.5]
+    assert all(abs(sum(f) - 1) < 1e-9 for f in got.values())
+    kind = [int(np.argmax(got[d])) for d in range(20)]
+    assert kind in ([0, 1] * 10, [1, 0] * 10)
+
+
+def test_digamma():
+    # psi(1) = -gamma, psi(1/2) = -gamma - 2 ln 2
+    values = topics.digamma(np.array([1.0, 0.5, 10.0]))
+    assert np.allclose(values, [-0.5772156649, -1.9635100260, 2.2517525890], atol=1e-8)
+
+
+@pytest.mark.parametrize("name", sorted(latent.SPECS))
+def test_every_configuration_gives_its_columns(spark, name):
+    clicks, _ = wide_clicks(spark)
+    spec = latent.SPECS[name]
+    one = replace(spec, pairs=spec.pairs[:1])
+    got = latent.add_latent_vectors(clicks, one)
+    a, b = spec.pairs[0]
+    assert got.columns[len(clicks.columns) :] == [f"{spec.name}_{a}_{b}_{i}" for i in range(spec.width)]
+    assert got.dropna(subset=[f"{spec.name}_{a}_{b}_0"]).count() == 300
+
+
 def test_pair_lists():
     assert [len(s.pairs) * s.width for s in latent.SPECS.values()] == [
         100, 60, 100, 60, 60, 60, 40, 80, 120, 60, 60, 60, 100, 60, 100, 60,
