@@ -6,7 +6,7 @@ over all its clicks. Words are counted at once; click-long word lists never exis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: words of one character were not kept, so the ids 0-9 are no words.
@@ -31,21 +31,22 @@ def document_terms(counts: DataFrame, min_df: int, drop_single_digit: bool = Tru
     return counts.join(vocabulary(counts, min_df, drop_single_digit), "term").select("doc", "term", "tf", "df")
 
 
-def tfidf(terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1.
+def inverse_frequency(documents: int) -> Column:
+    """ln((1 + n) / (1 + df)) + 1"""
+    return F.log(F.lit(1.0 + documents) / (1 + F.col("df"))) + 1
 
-    ``documents`` is one row with ``n``, the number of documents.
-    """
-    raw = terms.crossJoin(F.broadcast(documents)).select(
-        "doc", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("_raw")
-    )
+
+def tfidf(terms: DataFrame, documents: int) -> DataFrame:
+    """(doc, term, weight): tf times inverse frequency, each document scaled to length 1."""
+    raw = terms.select("doc", "term", (F.col("tf") * inverse_frequency(documents)).alias("_raw"))
     norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
     return raw.join(norms, "doc").select("doc", "term", (F.col("_raw") / F.col("_norm")).alias("weight"))
 
 
-def document_count(counts: DataFrame) -> DataFrame:
+def document_count(counts: DataFrame) -> int:
     """Documents are numbered 0 .. largest value, so values that never occur count as empty ones."""
-    return counts.agg((F.max("doc") + 1).cast("bigint").alias("n"))
+    largest = counts.agg(F.max("doc")).first()[0]
+    return 0 if largest is None else largest + 1
 
 
 def user_documents(clicks: DataFrame) -> DataFrame:

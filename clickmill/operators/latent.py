@@ -136,10 +136,10 @@ def one_hot_directions(clicks: DataFrame, k: int, weighted: bool) -> tuple[DataF
     combos = clicks.groupBy(*KEYS).agg(F.count("*").alias("n"))
     combos = combos.withColumn("chunk", F.pmod(F.xxhash64(*KEYS), F.lit(SALTS)))
     if weighted:
-        total = clicks.agg(F.count("*").alias("_total"))
+        total = clicks.count()
         for key in KEYS:
-            df = clicks.groupBy(key).agg(F.count("*").alias("_df")).crossJoin(F.broadcast(total))
-            idf = df.select(key, (F.log((1 + F.col("_total")) / (1 + F.col("_df"))) + 1).alias(f"w_{key}"))
+            df = clicks.groupBy(key).agg(F.count("*").alias("df"))
+            idf = df.select(key, D.inverse_frequency(total).alias(f"w_{key}"))
             combos = small_or_spread_lookup(combos, idf, [key])
         length = F.sqrt(sum(F.col(f"w_{key}") * F.col(f"w_{key}") for key in KEYS))
         combos = combos.select(*KEYS, "chunk", "n", *[(F.col(f"w_{k}") / length).alias(f"w_{k}") for k in KEYS])

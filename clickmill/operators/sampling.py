@@ -21,6 +21,7 @@ def sample_hash(row_id: Column, seed) -> Column:
 
 def _first_by_hash(hashed: DataFrame, sizes: DataFrame) -> DataFrame:
     """First ``_size`` rows of each ``bag`` by (_hash, row_id); ``sizes`` is (bag, _size)."""
+    kept = [c for c in hashed.columns if c != "_hash"]
     cut = F.substring("_hash", 1, PREFIX)
     hashed = hashed.withColumn("_prefix", cut)
     in_bag = Window.partitionBy("bag").orderBy("_prefix")
@@ -38,15 +39,16 @@ def _first_by_hash(hashed: DataFrame, sizes: DataFrame) -> DataFrame:
     on_edge = compared.where("_prefix = _edge").withColumn(
         "_place", F.row_number().over(Window.partitionBy("bag").orderBy("_hash", "row_id"))
     )
-    return inside.select("bag", "row_id").union(on_edge.where("_place <= _rest").select("bag", "row_id"))
+    return inside.select(*kept).union(on_edge.where("_place <= _rest").select(*kept))
 
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     """``round(fraction * n)`` rows, in click order."""
-    hashed = df.select(F.lit(0).alias("bag"), "row_id", sample_hash(F.col("row_id"), seed).alias("_hash"))
+    hashed = df.select(F.lit(0).alias("bag"), *df.columns, sample_hash(F.col("row_id"), seed).alias("_hash"))
     size = df.agg(F.lit(0).alias("bag"), F.round(F.count("*") * fraction).cast("bigint").alias("_size"))
-    chosen = _first_by_hash(hashed, size.where("_size > 0")) if fraction > 0 else hashed.limit(0)
-    return df.join(chosen.select("row_id"), "row_id", "left_semi").orderBy("click_s", "row_id")
+    none_wanted = size.where("_size = 0").select("bag")
+    chosen = _first_by_hash(hashed, size).join(F.broadcast(none_wanted), "bag", "left_anti")
+    return chosen.select(*df.columns).orderBy("click_s", "row_id")
 
 
 def balanced_bags(train: DataFrame, seeds) -> DataFrame:

@@ -373,13 +373,12 @@ def w_dup_row_diff(spark, sf_dir):
 TEST_HOURS_SQL = "(4, 5, 9, 10, 13, 14)"
 OLD_TEST = """+
 old AS (SELECT *, row_id AS click_id FROM clicks WHERE NOT is_train),
-new AS (SELECT *, row_id + 1000000 AS click_id FROM old WHERE {subset}),
+new AS (SELECT * REPLACE (row_id + 1000000 AS click_id) FROM old WHERE {subset}),
 last AS (SELECT ip, app, device, os, channel, click_s, arg_max(click_id, row_id) AS old_click_id FROM old
-  GROUP BY ALL),
+  GROUP BY ip, app, device, os, channel, click_s),
 mapping AS (SELECT old_click_id, new.click_id AS new_click_id FROM new
   JOIN last USING (ip, app, device, os, channel, click_s))
 """
-OLD_TEST = OLD_TEST.replace("GROUP BY ALL", "GROUP BY ip, app, device, os, channel, click_s")
 E_SUBSET = f"click_s // 3600 % 24 IN {TEST_HOURS_SQL}"
 L_SUBSET = "app <= 2"
 
@@ -541,6 +540,21 @@ _latent("l_svd_E", "svd", (("ip", "app"), ("app", "ip")))
 _latent("l_nmf_E", "nmf", (("ip", "app"),))
 
 
+def _configured(name: str):
+    def run(spark, sf_dir):
+        rows = latent.add_latent_vectors(event_clicks(spark, sf_dir), latent.SPECS[name])
+        return rows.drop(*[c for c in C.CLICK_COLUMNS if c != "row_id"])
+
+    query(f"l_{name}_E")(run)
+
+
+# The named configurations are one function with other parameters. The two with 20 pairs of SVD
+# or NMF are left to the feature registry; their variants without device are here.
+for _name in latent.SPECS:
+    if _name not in ("komaki_pca_5", "komaki_nmf_5"):
+        _configured(_name)
+
+
 def _row_features(name: str, add):
     def run(spark, sf_dir):
         return add(event_clicks(spark, sf_dir)).drop(*[c for c in C.CLICK_COLUMNS if c != "row_id"])

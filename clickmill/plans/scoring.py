@@ -22,7 +22,5 @@ def rank_average(predictions: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFr
     )
     ranked = spread_lookup(asked, ranks, ["bag", "prediction"])
     per_click = ranked.groupBy("click_id").agg(F.avg("rank").alias("_rank"))
-    size = per_click.agg(F.count("*").alias("_size"))
-    return per_click.crossJoin(F.broadcast(size)).select(
-        "click_id", (F.col("_rank") / F.col("_size")).alias("is_attributed")
-    )
+    size = predictions.select("click_id").distinct().count()
+    return per_click.select("click_id", (F.col("_rank") / F.lit(size)).alias("is_attributed"))

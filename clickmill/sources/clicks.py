@@ -7,12 +7,13 @@ position in the log; clicks are ordered by (click_s, row_id).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickmill.functions.clock import epoch_seconds
 from clickmill.functions.keys import KEYS
+from clickmill.operators.ranks import running_total
 
 CLICK_COLUMNS = ("row_id", *KEYS, "click_s", "is_attributed", "attributed_s", "is_train")
 
@@ -69,12 +70,8 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def _split_offsets(splits: DataFrame) -> DataFrame:
-    from clickmill.operators.ranks import running_total
-
     in_file = splits.groupBy("_file").agg(F.sum("_n").alias("_file_n"))
     files = running_total(in_file, "_file", "_file_n", "_file_offset")
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     local = splits.withColumn("_in_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     return local.join(files, "_file").select(
@@ -83,9 +80,12 @@ def _split_offsets(splits: DataFrame) -> DataFrame:
 
 
 def keep_after(supplement: DataFrame, train: DataFrame, column: str = "click_time") -> DataFrame:
-    """Rows of ``supplement`` at or after the last click of ``train``."""
-    last = train.agg(F.max(column).alias("_last"))
-    return supplement.crossJoin(F.broadcast(last)).where(F.col(column) >= F.col("_last")).drop("_last")
+    """Rows of ``supplement`` at or after the last click of ``train``.
+
+    The last click is read first, so that the filter is a plain value the scan can skip by.
+    """
+    last = train.agg(F.max(column)).first()[0]
+    return supplement.where(F.col(column) >= F.lit(last))
 
 
 def write_table(df: DataFrame, path: str, cluster_by: str | None = None) -> str:
@@ -124,14 +124,10 @@ def stack(train: DataFrame, test: DataFrame) -> DataFrame:
     Test positions continue after the last train position, so (click_s, row_id) stays the order
     of the stacked log.
     """
-    shift = train.agg((F.coalesce(F.max("row_id"), F.lit(-1)) + 1).alias("_shift"))
-    first = test.agg(F.min("row_id").alias("_first"))
-    moved = (
-        test.crossJoin(F.broadcast(shift))
-        .crossJoin(F.broadcast(first))
-        .withColumn("row_id", F.col("row_id") - F.col("_first") + F.col("_shift"))
-        .drop("_shift", "_first")
-    )
+    last = train.agg(F.max("row_id")).first()[0]
+    first = test.agg(F.min("row_id")).first()[0]
+    shift = (-1 if last is None else last) + 1 - (first or 0)
+    moved = test.withColumn("row_id", F.col("row_id") + F.lit(shift))
     both = train.withColumn("is_train", F.lit(True)).unionByName(
         moved.withColumn("is_train", F.lit(False)), allowMissingColumns=True
     )
