@@ -62,7 +62,8 @@ def _grouped(name: str, log: str, features, masks=None, strategy="auto", chunk_r
 
 
 def _times(column: str):
-    return F.timestamp_seconds(column).cast("timestamp_ntz")
+    """Epoch seconds as a timestamp without zone, whatever the session zone is."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col(column))
 
 
 CLICK_FIELDS = (
