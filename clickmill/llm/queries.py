@@ -46,11 +46,11 @@ g AS (
   FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 1, 2))) AS i) WHERE len(words) > 0),
 n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id),
 links AS (
   SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
-  WHERE 100 * both >= 90 * (a.size + b.size - both)),
+  WHERE 100 * met >= 90 * (a.size + b.size - met)),
 reach(doc_id, id) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = id)
 SELECT d.doc_id, coalesce(any_value(n.size), 0)::BIGINT AS n_shingles, min(r.id) AS component_id
