@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,10 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickmill.session import scratch_path
 
-#: ASCII white space as the word rules of this folder see it; ``bytes.split()`` cuts at the same bytes.
-BLANK = r"[\x20\x09-\x0D]+"
-
-
 def ship(spark: SparkSession) -> None:
     """Let the Python workers of this session import the package from where the driver has it.
 
@@ -52,23 +46,14 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def with_any_names(df: DataFrame, function) -> DataFrame:
+    """``mapInArrow`` of a function that keeps the columns of ``df``, whatever their names."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(function, plain.schema).toDF(*df.columns)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of at most ``size`` rows."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
-WORD = re.compile(r"\w+")

@@ -9,10 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact import exact_duplicates
 from .jaccard import jaccard_groups
+from .language import identify
+from .quality import score_quality
+from .tokenfiles import token_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -22,6 +43,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
+    "op7_token_files": op7_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -38,7 +62,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 ORACLES["op10_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 g AS (
   SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN list_aggregate(words, 'string_agg', ' ')
