@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clickmill.session import scratch_path
 
+
 def ship(spark: SparkSession) -> None:
     """Let the Python workers of this session import the package from where the driver has it.
 

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .contamination import contaminated
 from .exact import exact_duplicates
 from .jaccard import jaccard_groups
 from .language import identify
+from .mixing import mix_sources
 from .quality import score_quality
+from .quotes import link_quotes
+from .secretscan import find_secrets
 from .tokenfiles import token_index
+from .urlfilter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +27,22 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(read(spark, sf_dir, "conversations"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -34,6 +55,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(read(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,9 +68,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quotation_links": op1_quotation_links,
+    "op2_decontamination": op2_decontamination,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
+    "op8_url_filter": op8_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
