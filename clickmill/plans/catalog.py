@@ -24,7 +24,7 @@ from clickmill.operators.ranks import exact_auc
 from clickmill.operators.sampling import bag_rows, balanced_bags, fraction_sample
 from clickmill.plans import dataset, scoring, training
 from clickmill.plans.oracles import BAGS, DUPLICATES, PREDICTIONS, grouped_sql, median_sql, over
-from clickmill.session import scratch_path
+from clickmill.session import cut_lineage, scratch_path
 from clickmill.sources import clicks as C
 from clickmill.sources.adapters import event_clicks, lineitem_clicks
 from clickmill.sources.store import FeatureStore, assemble, bag_summary, write_submission
@@ -654,7 +654,7 @@ def _model_rows(spark, sf_dir):
     table = G.add_grouped_features(log, [G.future_click_count(600)], MODEL_MASKS)
     table = table.withColumn("hour", clock.hour_of_day(F.col("click_s")))
     bagged = bag_rows(table.where("is_train"), balanced_bags(log.where("is_train"), [0]))
-    return table, *dataset.time_split(bagged, "2024-01-20 16:00:00")
+    return table, *dataset.time_split(cut_lineage(bagged), "2024-01-20 16:00:00")
 
 
 def _model(spark, sf_dir, rounds=8):
@@ -666,14 +666,14 @@ def _model(spark, sf_dir, rounds=8):
 def e_gbt_scores(spark, sf_dir):
     """Fit with validation, refit on both parts for the best number of rounds, score the test rows."""
     model, table, train, valid = _model(spark, sf_dir)
-    final = training.fit_all(train.unionByName(valid), DESIGN, MODEL_PARAMS, model.getNumTrees, 0)
-    return training.score(final, table.where("NOT is_train"), DESIGN).select("row_id", "prediction")
+    final = training.fit_all(train.unionByName(valid), DESIGN, MODEL_PARAMS, model.rounds, 0)
+    return training.score(final, table.where("NOT is_train")).select("row_id", "prediction")
 
 
 @query("e_feature_importance_E")
 def e_feature_importance(spark, sf_dir):
     model, _, _, _ = _model(spark, sf_dir)
-    named = training.feature_importance(model, DESIGN)
+    named = training.feature_importance(model)
     return spark.createDataFrame(list(named.items()), "feature string, importance double")
 
 
@@ -681,7 +681,7 @@ def e_feature_importance(spark, sf_dir):
 def e_auc_history(spark, sf_dir):
     model, _, train, valid = _model(spark, sf_dir)
     both = train.withColumn("set", F.lit("train")).unionByName(valid.withColumn("set", F.lit("valid")))
-    return training.auc_history(model, both, DESIGN)
+    return training.auc_history(model, both)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

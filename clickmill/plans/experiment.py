@@ -102,7 +102,8 @@ def run_experiment(
 
     outcome, predictions = Outcome([], {}), []
     params = config["model"].get("model_params", {})
-    rounds = config["model"].get("train_params", {}).get("num_boost_round", 100)
+    train_params = config["model"].get("train_params", {})
+    rounds, patience = train_params.get("num_boost_round", 100), train_params.get("early_stopping_rounds")
     for seed in seeds:
         began = time.time()
         rows = sampled.where(F.col("bag") == seed)
@@ -110,15 +111,16 @@ def run_experiment(
             rows = dataset.only_test_ips(rows)
         rows = dataset.with_hour_weight(rows, hours.get("train_weight", 1.0)) if weight else rows
         fit_rows, valid = dataset.time_split(rows, start, "click_time")
-        valid = dataset.in_test_hours(valid) if weight else valid
-        model = training.fit_with_validation(fit_rows, valid, design, params, rounds, seed, weight)
-        best = model.getNumTrees
+        # only training rows are weighted
+        valid = dataset.in_test_hours(valid).withColumn(weight, F.lit(1.0)) if weight else valid
+        model = training.fit_with_validation(fit_rows, valid, design, params, rounds, seed, weight, patience)
+        best = model.rounds
         both = fit_rows.withColumn("set", F.lit("train")).unionByName(valid.withColumn("set", F.lit("valid")))
-        history = training.auc_history(model, both, design, only=best)
+        history = training.auc_history(model, both, only=best)
         auc = {r["set"]: r["auc"] for r in history.collect()}
         if not train_only:
             model = training.fit_all(rows, design, params, best, seed, weight)
-            scored = training.score(model, test_rows, design)
+            scored = training.score(model, test_rows)
             predictions.append(scored.select(F.lit(seed).alias("bag"), "click_id", "prediction"))
         outcome.models.append(model)
         outcome.trials.append(
@@ -127,7 +129,8 @@ def run_experiment(
                 "valid_auc": auc.get("valid"),
                 "best_iteration": best,
                 "train_time": time.time() - began,
-                "feature_importance": training.feature_importance(model, design),
+                "feature_importance": training.feature_importance(model),
+                "feature_splits": training.feature_importance(model, "split"),
             }
         )
 

@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import math
+import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickmill.operators.lookup import small_or_spread_lookup, with_chunk
 from clickmill.operators.ranks import exact_auc
 from clickmill.plans.registry import TARGET
+from clickmill.session import cut_lineage
 
-# Trees split a categorical column by sets of categories, so their number must be small:
-# ids beyond it share a category by hash.
-CATEGORIES = 64
 MISSING = -1.0
+# Folds of the training rows; a row's own fold does not count for its categories.
+FOLDS = 5
+# Rows of average behaviour that every category starts with.
+PRIOR_ROWS = 20.0
+DEEPEST = 30
+# Model parameters that the tree learner has a counterpart for, and those it has none for.
+KNOWN = {"max_depth", "num_leaves", "learning_rate", "max_bin", "min_child_samples", "min_data_in_leaf", "min_split_gain", "min_gain_to_split", "subsample", "bagging_fraction", "colsample_bytree", "feature_fraction"}
+WITHOUT_EFFECT = {"reg_lambda", "reg_alpha", "lambda_l1", "lambda_l2", "min_child_weight", "subsample_freq", "bagging_freq", "subsample_for_bin", "scale_pos_weight"}
 
 
 @dataclass(frozen=True)
@@ -27,93 +35,173 @@ class Design:
     columns: tuple[str, ...]
     categorical: tuple[str, ...] = ()
 
-    def vectors(self, rows: DataFrame) -> DataFrame:
-        """Add ``features``; missing numbers become -1, large category ids are hashed."""
-        shaped = [self._shape(name) for name in self.columns]
-        assembler = VectorAssembler(inputCols=[f"x_{name}" for name in self.columns], outputCol="features")
-        wide = assembler.transform(rows.select("*", *shaped))
-        return wide.drop(*[f"x_{name}" for name in self.columns])
 
-    def _shape(self, name: str) -> Column:
-        if name not in self.categorical:
-            value = F.col(name).cast("double")
-            return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(MISSING)).alias(f"x_{name}")
-        category = F.pmod(F.col(name).cast("bigint"), F.lit(CATEGORIES)).cast("double")
-        meta = {"ml_attr": {"type": "nominal", "name": f"x_{name}", "num_vals": CATEGORIES}}
-        return F.coalesce(category, F.lit(0.0)).alias(f"x_{name}", metadata=meta)
+@dataclass
+class Encoding:
+    """Per categorical column the clicks and positives of each category in the training rows.
+
+    A category counts as its share of positives, drawn towards the overall share. Trees cut two-class categories
+    in that order anyway, and it works alike for five categories and for five million.
+    """
+
+    design: Design
+    tables: dict[str, DataFrame]
+    share: float
+
+    def vectors(self, rows: DataFrame, training: bool = False) -> DataFrame:
+        """Add ``features``. For the rows it was learnt on (``training``), a row's own fold is left out, so that
+        no label finds its way into its own features. Missing numbers are -1, unseen categories the overall share."""
+        wide = rows
+        for name in self.design.columns:
+            if name in self.tables:
+                wide = self._category(wide, name, training)
+            else:
+                value = F.col(name).cast("double")
+                wide = wide.withColumn(f"x_{name}", F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(MISSING)))
+        names = [f"x_{name}" for name in self.design.columns]
+        return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
+
+    def _category(self, rows: DataFrame, name: str, training: bool) -> DataFrame:
+        rows = with_chunk(rows)
+        folded = self.tables[name]
+        sums = folded.groupBy("_category").agg(F.sum("_clicks").alias("_clicks"), F.sum("_positive").alias("_positive"))
+        on = ["_category"]
+        rows = rows.withColumn("_category", category(F.col(name)))
+        if training:
+            own = folded.select("_category", "_fold", F.col("_clicks").alias("_own_clicks"), F.col("_positive").alias("_own_positive"))
+            sums = own.join(sums, "_category").select("_category", "_fold", (F.col("_clicks") - F.col("_own_clicks")).alias("_clicks"), (F.col("_positive") - F.col("_own_positive")).alias("_positive"))
+            rows, on = rows.withColumn("_fold", fold()), ["_category", "_fold"]
+        found = small_or_spread_lookup(rows, sums, on)
+        clicks, positive = F.coalesce("_clicks", F.lit(0.0)), F.coalesce("_positive", F.lit(0.0))
+        value = (positive + PRIOR_ROWS * self.share) / (clicks + PRIOR_ROWS)
+        return found.withColumn(f"x_{name}", value).drop(*on, "_clicks", "_positive")
+
+
+@dataclass
+class Booster:
+    """A fitted model of which the first ``rounds`` trees count."""
+
+    model: GBTClassificationModel
+    encoding: Encoding
+    rounds: int
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802 - the name that MLlib's models use
+        return self.rounds
+
+    def margin(self, rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """Rows with one column per tree that counts, and the margin after 1, 2, ... trees."""
+        total, steps = F.lit(0.0), []
+        for i, (tree, weight) in enumerate(zip(self.model.trees[: self.rounds], self.model.treeWeights)):
+            rows = tree.setPredictionCol(f"_t{i}").transform(rows)
+            total = total + F.lit(float(weight)) * F.col(f"_t{i}")
+            steps.append(total)
+        return rows, steps
+
+
+def category(column: Column) -> Column:
+    """Missing ids are a category of their own."""
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def fold() -> Column:
+    return F.pmod(F.xxhash64("row_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def learn_encoding(rows: DataFrame, design: Design) -> Encoding:
+    share = rows.agg(F.avg(F.col(TARGET).cast("double"))).first()[0] or 0.0
+    tables = {}
+    for name in design.columns:
+        if name in design.categorical:
+            counts = rows.groupBy(category(F.col(name)).alias("_category"), fold().alias("_fold"))
+            tables[name] = cut_lineage(counts.agg(F.count("*").cast("double").alias("_clicks"), F.sum(F.col(TARGET).cast("double")).alias("_positive")))
+    return Encoding(design, tables, share)
 
 
 def classifier(params: dict, rounds: int, seed: int) -> GBTClassifier:
-    """Model parameters by their usual names -> the nearest ones of the tree learner."""
+    """Model parameters by their usual names -> those of the tree learner; others are named in a warning."""
+    for name in sorted(set(params) & WITHOUT_EFFECT):
+        warnings.warn(f"model parameter {name} has no counterpart and no effect", stacklevel=2)
     depth = params.get("max_depth", -1)
     if depth <= 0:
         depth = math.ceil(math.log2(params.get("num_leaves", 31)))
+    if depth > DEEPEST:
+        raise ValueError(f"trees can be {DEEPEST} levels deep, not {depth}")
     return GBTClassifier(
         labelCol=TARGET,
         featuresCol="features",
         maxIter=rounds,
-        maxDepth=min(depth, 30),
+        maxDepth=depth,
         stepSize=params.get("learning_rate", 0.1),
-        maxBins=max(params.get("max_bin", 255), CATEGORIES),
-        minInstancesPerNode=max(params.get("min_child_samples", 20), 1),
-        subsamplingRate=params.get("subsample", 1.0),
-        featureSubsetStrategy=str(float(params.get("colsample_bytree", 1.0))),
+        maxBins=params.get("max_bin", 255),
+        minInstancesPerNode=max(params.get("min_child_samples", params.get("min_data_in_leaf", 20)), 1),
+        minInfoGain=float(params.get("min_split_gain", params.get("min_gain_to_split", 0.0))),
+        subsamplingRate=params.get("subsample", params.get("bagging_fraction", 1.0)),
+        featureSubsetStrategy=str(float(params.get("colsample_bytree", params.get("feature_fraction", 1.0)))),
         seed=seed,
     )
 
 
+def best_round(scores: list[float], patience: int | None) -> int:
+    """The round (from 1) of the best score among those before ``patience`` rounds without a better one."""
+    best = 0
+    for i, value in enumerate(scores):
+        if value > scores[best]:
+            best = i
+        elif patience and i - best >= patience:
+            break
+    return best + 1
+
+
 def fit_with_validation(
-    train: DataFrame, valid: DataFrame, design: Design, params: dict, rounds: int, seed: int, weight: str | None = None
-) -> GBTClassificationModel:
-    """Fit on ``train``; the number of trees kept is the one with the least loss on ``valid``."""
-    missing = [name for name in (*design.columns, TARGET) if name not in train.columns or name not in valid.columns]
+    train: DataFrame, valid: DataFrame, design: Design, params: dict, rounds: int, seed: int, weight: str | None = None, patience: int | None = None
+) -> Booster:
+    """Fit on ``train``; the trees that count are those up to the round with the best AUC on ``valid``, where rounds after
+    ``patience`` rounds without a better AUC are not looked at."""
+    missing = [name for name in (*design.columns, TARGET, "row_id") if name not in train.columns or name not in valid.columns]
     if missing:
         raise ValueError(f"train and valid must both have the columns {missing}")
     if train.isEmpty() or valid.isEmpty():
         raise ValueError("the split left no rows to train or to validate on")
-    kept = [*design.columns, TARGET, *([weight] if weight else [])]
-    if weight and weight not in valid.columns:
-        valid = valid.withColumn(weight, F.lit(1.0))
-    both = train.select(*kept, F.lit(False).alias("_valid")).unionByName(
-        valid.select(*kept, F.lit(True).alias("_valid"))
-    )
-    learner = classifier(params, rounds, seed).setValidationIndicatorCol("_valid")
-    if weight:
-        learner = learner.setWeightCol(weight)
-    return learner.fit(design.vectors(both))
+    booster = fit_all(train, design, params, rounds, seed, weight)
+    history = auc_history(booster, valid.withColumn("set", F.lit("valid")))
+    auc = {r["iteration"]: r["auc"] for r in history.collect()}
+    scores = [auc.get(i + 1) if auc.get(i + 1) is not None else 0.0 for i in range(booster.rounds)]
+    return Booster(booster.model, booster.encoding, best_round(scores, patience))
 
 
-def fit_all(
-    rows: DataFrame, design: Design, params: dict, rounds: int, seed: int, weight: str | None = None
-) -> GBTClassificationModel:
+def fit_all(rows: DataFrame, design: Design, params: dict, rounds: int, seed: int, weight: str | None = None) -> Booster:
     learner = classifier(params, rounds, seed)
     if weight:
         learner = learner.setWeightCol(weight)
-    return learner.fit(design.vectors(rows))
+    encoding = learn_encoding(rows, design)
+    wide = encoding.vectors(rows, training=True).select(TARGET, "features", *([weight] if weight else []))
+    model = learner.fit(cut_lineage(wide))
+    return Booster(model, encoding, len(model.treeWeights))
 
 
-def score(model: GBTClassificationModel, rows: DataFrame, design: Design) -> DataFrame:
+def score(booster: Booster, rows: DataFrame) -> DataFrame:
     """Add ``prediction``, the probability of a positive label."""
-    model = model.copy().setPredictionCol("").setRawPredictionCol("")
-    scored = model.transform(design.vectors(rows))
-    return scored.withColumn("prediction", vector_to_array("probability")[1]).drop("features", "probability")
-
-
-def auc_history(
-    model: GBTClassificationModel, rows: DataFrame, design: Design, by=("set",), only: int | None = None
-) -> DataFrame:
-    """AUC of the first 1, 2, ... trees (or of the first ``only``) on each set: (by, iteration, auc)."""
-    margins = design.vectors(rows).select(*by, TARGET, "features")
-    total = F.lit(0.0)
-    steps = []
-    for i, (tree, tree_weight) in enumerate(zip(model.trees, model.treeWeights)):
-        margins = tree.setPredictionCol(f"_t{i}").transform(margins)
-        total = total + F.lit(float(tree_weight)) * F.col(f"_t{i}")
-        if only is None or only == i + 1:
-            steps.append(F.struct(F.lit(i + 1).alias("iteration"), total.alias("margin")))
+    margins, steps = booster.margin(booster.encoding.vectors(rows))
+    return margins.withColumn("prediction", 1 / (1 + F.exp(-2 * steps[-1]))).select(*rows.columns, "prediction")
+
+
+def auc_history(booster: Booster, rows: DataFrame, by=("set",), only: int | None = None) -> DataFrame:
+    """AUC of the first 1, 2, ... trees that count (or of the first ``only``) on each set: (by, iteration, auc)."""
+    margins, totals = booster.margin(booster.encoding.vectors(rows).select(*by, TARGET, "features"))
+    steps = [F.struct(F.lit(i + 1).alias("iteration"), t.alias("margin")) for i, t in enumerate(totals) if only in (None, i + 1)]
     long = margins.select(*by, TARGET, F.explode(F.array(*steps)).alias("s")).select(*by, TARGET, "s.*")
     return exact_auc(long, "margin", TARGET, [*by, "iteration"])
 
 
-def feature_importance(model: GBTClassificationModel, design: Design) -> dict[str, float]:
-    return dict(zip(design.columns, (float(v) for v in model.featureImportances.toArray())))
+def feature_importance(booster: Booster, kind: str = "gain") -> dict[str, float]:
+    """What each column adds to the trees that count, as shares: by ``gain``, or by the number of its cuts (``split``)."""
+    trees, columns = booster.model.trees[: booster.rounds], booster.encoding.design.columns
+    if kind == "split":
+        cuts = [int(k) for tree in trees for k in re.findall(r"If \(feature (\d+) ", tree.toDebugString)]
+        sums = [float(cuts.count(i)) for i in range(len(columns))]
+    else:
+        gains = [w * tree.featureImportances.toArray() for tree, w in zip(trees, booster.model.treeWeights)]
+        sums = [float(sum(g[i] for g in gains)) for i in range(len(columns))]
+    whole = sum(sums) or 1.0
+    return {name: value / whole for name, value in zip(columns, sums)}

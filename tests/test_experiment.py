@@ -4,9 +4,10 @@ import random
 
 import pytest
 from fixtures import DAY
+from pyspark.sql import functions as F
 
 from clickmill.operators.ranks import exact_auc, number_rows, tied_ranks
-from clickmill.plans import registry, scoring
+from clickmill.plans import registry, scoring, training
 from clickmill.plans.experiment import run_experiment
 from clickmill.session import scratch_path
 from clickmill.sources import clicks as C
@@ -150,3 +151,45 @@ def test_rows_are_numbered_densely(spark):
     rows = spark.range(1000).selectExpr("1000 - id AS a", "id % 3 AS b")
     got = number_rows(rows, ["b", "a"]).orderBy("b", "a").collect()
     assert [r.row_id for r in got] == list(range(1000))
+
+
+def test_best_round_by_score_and_patience():
+    assert training.best_round([0.5, 0.6, 0.6, 0.55, 0.7], None) == 5
+    assert training.best_round([0.5, 0.6, 0.6, 0.55, 0.7], 2) == 2
+    assert training.best_round([0.5, 0.6, 0.6, 0.55, 0.7], 3) == 5
+    assert training.best_round([0.5], 1) == 1
+
+
+def test_small_learning_rates_keep_many_trees(spark):
+    rng = random.Random(7)
+    names = [f"f{k}" for k in range(6)]
+    rows = []
+    for i in range(4000):
+        values, ip = [rng.random() for _ in names], rng.randrange(300)
+        odds = sum(v > 0.5 for v in values) / 8 + 0.2 * (ip % 7 == 0)
+        rows.append((i, *values, ip, int(rng.random() < odds), i % 4 == 0))
+    frame = spark.createDataFrame(rows, "row_id bigint, " + ", ".join(f"{n} double" for n in names) + ", ip int, is_attributed int, valid boolean")
+    train, valid = frame.where("NOT valid"), frame.where("valid")
+    design = training.Design((*names, "ip"), ("ip",))
+    params = {"learning_rate": 0.03, "max_depth": 2, "reg_lambda": 1.0}
+    with pytest.warns(UserWarning, match="reg_lambda"):
+        model = training.fit_with_validation(train, valid, design, params, 15, 0, patience=10)
+    history = {r["iteration"]: r["auc"] for r in training.auc_history(training.Booster(model.model, model.encoding, 15), valid.withColumn("set", F.lit("v"))).collect()}
+    assert len(history) == 15 and history[model.rounds] == max(history.values()) and model.rounds > 5
+    scores = {r.row_id: r.prediction for r in training.score(model, valid).collect()}
+    assert len(scores) == 1000 and all(0 < s < 1 for s in scores.values())
+    assert all(abs(sum(training.feature_importance(model, kind).values()) - 1) < 1e-9 for kind in ("gain", "split"))
+    with pytest.raises(ValueError, match="levels"):
+        training.classifier({"max_depth": 40}, 5, 0)
+
+
+def test_categories_count_without_their_own_fold(spark):
+    rows = [(i, i % 3, int(i % 3 == 0)) for i in range(300)] + [(1000, 9, 1)]
+    frame = spark.createDataFrame(rows, "row_id bigint, app int, is_attributed int")
+    encoding = training.learn_encoding(frame, training.Design(("app",), ("app",)))
+    own = {r.row_id: r.features[0] for r in encoding.vectors(frame, training=True).collect()}
+    share = 101 / 301
+    assert math.isclose(own[1000], share)  # its only click is its own
+    assert own[0] > 0.7 > 0.2 > own[1]
+    later = {r.row_id: r.features[0] for r in encoding.vectors(frame.withColumn("row_id", F.col("row_id") + 5000)).collect()}
+    assert math.isclose(later[6000], (1 + 20 * share) / 21) and math.isclose(later[5001], 20 * share / 120)
