@@ -9,24 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: words of one character were not kept, so the ids 0-9 are no words.
+# Fixed value: in compatible vocabularies words of one character are not kept, so the ids 0-9 are no words.
 FIRST_WORD = 10
 USER = ["ip", "device", "os", "channel"]
 USER_MIN_CLICKS = 3
-SMALL_LOG = 1_000_000
 
 
 def cooccurrence(clicks: DataFrame, doc: str, term: str) -> DataFrame:
     return clicks.groupBy(F.col(doc).alias("doc"), F.col(term).alias("term")).agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, min_df: int, drop_single_digit: bool = True) -> DataFrame:
-    """(term, df) of the terms kept: in ``min_df`` documents or more, and at least two digits long."""
+def vocabulary(counts: DataFrame, min_df: int, drop_single_digit: bool = False) -> DataFrame:
+    """(term, df) of the terms kept: in ``min_df`` documents or more, and if asked for, at least two digits long."""
     kept = counts.where(F.col("term") >= FIRST_WORD) if drop_single_digit else counts
     return kept.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 
-def document_terms(counts: DataFrame, min_df: int, drop_single_digit: bool = True) -> DataFrame:
+def document_terms(counts: DataFrame, min_df: int, drop_single_digit: bool = False) -> DataFrame:
     """(doc, term, tf, df) restricted to the vocabulary."""
     return counts.join(vocabulary(counts, min_df, drop_single_digit), "term").select("doc", "term", "tf", "df")
 
@@ -56,15 +55,14 @@ def user_documents(clicks: DataFrame) -> DataFrame:
     return counts.join(totals.drop("_clicks"), USER)
 
 
-def item_documents(clicks: DataFrame) -> DataFrame:
-    """(app, ip, device, os, channel, tf): the users of each app, without the first ten users.
+def item_documents(clicks: DataFrame, drop_first_users: bool = False) -> DataFrame:
+    """(app, ip, device, os, channel, tf): the users of each app.
 
-    Users were numbered by first appearance and the numbers 0-9 are no words.
+    ``drop_first_users`` leaves out the first ten users: where users are numbered by first appearance and words must have
+    two digits, those have no word.
     """
     counts = clicks.groupBy("app", *USER).agg(F.count("*").alias("tf"), F.min("row_id").alias("_seen"))
+    if not drop_first_users:
+        return counts.drop("_seen")
     first = counts.groupBy(*USER).agg(F.min("_seen").alias("_seen")).orderBy("_seen").limit(FIRST_WORD)
     return counts.drop("_seen").join(F.broadcast(first.select(*USER)), USER, "left_anti").select("app", *USER, "tf")
-
-
-def default_min_df(clicks: DataFrame) -> int:
-    return 1 if clicks.count() < SMALL_LOG else 2

@@ -47,6 +47,7 @@ def _spec(name, method, width, min_df, found):
     return LatentSpec(name, method, width, min_df, tuple(found))
 
 
+# Names, widths, least document frequencies and pairs of the stored configurations.
 SPECS = {
     "komaki_lda_5": _spec("KomakiLDA5", "lda", 5, 2, pairs()),
     "komaki_lda_5_no_device": _spec("KomakiLDA5NoDevice", "lda", 5, 2, pairs(NO_DEVICE)),
@@ -69,13 +70,18 @@ SPECS = {
 }
 
 
-def latent_table(clicks: DataFrame, doc: str, term: str, method: str, width: int, min_df: int) -> DataFrame:
-    """(doc, f): the latent vector of every value of column ``doc``, by its ``term`` values."""
+def latent_table(
+    clicks: DataFrame, doc: str, term: str, method: str, width: int, min_df: int, compat: bool = False, lda: str = "online"
+) -> DataFrame:
+    """(doc, f): the latent vector of every value of column ``doc``, by its ``term`` values.
+
+    ``compat`` leaves out the term values 0-9; ``lda`` is the method of ``topics.topic_mixtures``.
+    """
     counts = cut_lineage(D.cooccurrence(clicks, doc, term))
     docs = counts.select("doc").distinct()
-    terms = D.document_terms(counts, min_df)
+    terms = D.document_terms(counts, min_df, compat)
     if method == "lda":
-        return topic_mixtures(terms, docs, width)
+        return topic_mixtures(terms, docs, width, method=lda)
     weights = D.tfidf(terms, D.document_count(counts))
     if method == "svd":
         found, _ = truncated_svd(weights, width)
@@ -92,7 +98,9 @@ def vector_columns(vector: Column, prefix: str, width: int) -> list[Column]:
     return [vector[i].cast("float").alias(f"{prefix}_{i}") for i in range(width)]
 
 
-def add_latent_vectors(clicks: DataFrame, spec: LatentSpec, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def add_latent_vectors(
+    clicks: DataFrame, spec: LatentSpec, chunk_rows: int = CHUNK_ROWS, compat: bool = False, lda: str = "online"
+) -> DataFrame:
     """``Name_col1_col2_j`` columns for every pair of the configuration.
 
     Pairs of one document column share the lookup from clicks to values.
@@ -100,7 +108,7 @@ def add_latent_vectors(clicks: DataFrame, spec: LatentSpec, chunk_rows: int = CH
     rows = with_chunk(clicks, chunk_rows)
 
     def fitted(pair):
-        return latent_table(clicks, *pair, spec.method, spec.width, spec.min_df)
+        return latent_table(clicks, *pair, spec.method, spec.width, spec.min_df, compat, lda)
 
     # The fits of the pairs are independent jobs; a few at a time keep the cluster busy.
     with ThreadPoolExecutor(PAIRS_AT_ONCE) as pool:
@@ -185,27 +193,27 @@ def add_one_hot_svd(
 
 
 def add_user_item_lda(
-    clicks: DataFrame, k: int = 30, min_df: int | None = None, chunk_rows: int = CHUNK_ROWS
+    clicks: DataFrame, k: int = 30, min_df: int = 1, chunk_rows: int = CHUNK_ROWS, compat: bool = False, lda: str = "online"
 ) -> DataFrame:
     """``UserItemLDA_j``: topic shares of the click's user over apps; zeros for users below three clicks."""
     counts = D.user_documents(clicks).withColumn("doc", F.struct(*D.USER)).withColumnRenamed("app", "term")
     counts = cut_lineage(counts.select("doc", "term", "tf"))
-    terms = D.document_terms(counts, min_df or D.default_min_df(clicks))
-    table = topic_mixtures(terms, counts.select("doc").distinct(), k).select("doc.*", "f")
+    terms = D.document_terms(counts, min_df, compat)
+    table = topic_mixtures(terms, counts.select("doc").distinct(), k, method=lda).select("doc.*", "f")
     rows = small_or_spread_lookup(with_chunk(clicks, chunk_rows), cut_lineage(table), D.USER)
     share = F.coalesce("f", F.array_repeat(F.lit(0.0), k))
     return rows.select(*clicks.columns, *vector_columns(share, "UserItemLDA", k))
 
 
 def add_item_user_lda(
-    clicks: DataFrame, k: int = 30, min_df: int | None = None, chunk_rows: int = CHUNK_ROWS
+    clicks: DataFrame, k: int = 30, min_df: int = 1, chunk_rows: int = CHUNK_ROWS, compat: bool = False, lda: str = "online"
 ) -> DataFrame:
     """``ItemUserLDA_j``: topic shares of the click's app over its users."""
-    counts = cut_lineage(D.item_documents(clicks).withColumnRenamed("app", "doc"))
+    counts = cut_lineage(D.item_documents(clicks, compat).withColumnRenamed("app", "doc"))
     frequent = counts.groupBy(*D.USER).agg(F.count("*").alias("_df"))
-    frequent = frequent.where(F.col("_df") >= (min_df or D.default_min_df(clicks))).drop("_df")
+    frequent = frequent.where(F.col("_df") >= min_df).drop("_df")
     docs = clicks.select(F.col("app").alias("doc")).distinct()
-    table = topic_mixtures(counts.join(frequent, D.USER), docs, k, words=D.USER)
+    table = topic_mixtures(counts.join(frequent, D.USER), docs, k, words=D.USER, method=lda)
     table = cut_lineage(table.withColumnRenamed("doc", "app"))
     rows = small_or_spread_lookup(with_chunk(clicks, chunk_rows), table, ["app"])
     return rows.select(*clicks.columns, *vector_columns(F.col("f"), "ItemUserLDA", k))

@@ -1,13 +1,13 @@
-"""Topic mixtures of documents by LDA.
+"""Topic mixtures of documents by LDA, by one of two methods that the caller names.
 
-Up to ``MAX_VOCABULARY`` words the online fit of MLlib is used, which keeps its topics (words x k)
-on the driver. Longer vocabularies, such as the users of an app, are fitted by variational
-updates written as joins and sums, where topics and mixtures stay tables.
+"online" is MLlib's fit, whose topics (words x k) are on the driver. "joins" writes the variational updates as joins and
+grouped sums over the (doc, term, tf) entries: topics and mixtures stay tables at any size of the vocabulary, such as the
+users of an app, and only k numbers per round reach the driver.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from clickmill.operators.factors import BROADCAST_FACTORS, start_factor
 from clickmill.operators.lookup import is_short
-from clickmill.session import cut_lineage
+from clickmill.session import cut_lineage, written
 
-MAX_VOCABULARY = 1 << 20
-ROUNDS = 20
-BATCH = 128
-PASSES = 10
-SMALLEST_RATE = 0.05
+# Passes of the online fit over all documents, at any number of them.
+PASSES = 20
+# The fit by joins ends when the shares of topics change by less than this on average, or with a warning after so many rounds.
+TOLERANCE = 1e-3
+ROUNDS = 30
 
 
 @F.udf(VectorUDT())
@@ -49,26 +49,33 @@ def word_vectors(terms: DataFrame, words: list[str], size: int) -> DataFrame:
     return packed.select("doc", _sparse(F.lit(size), "_words").alias("features"))
 
 
-def topic_mixtures(terms: DataFrame, docs: DataFrame, k: int, words=("term",), seed: int = 71) -> DataFrame:
-    """(doc, f): k topic shares for every row of ``docs``; documents without words get 1/k each."""
+def topic_mixtures(
+    terms: DataFrame, docs: DataFrame, k: int, words=("term",), seed: int = 71, method: str = "online",
+    tolerance: float = TOLERANCE, rounds: int = ROUNDS,
+) -> DataFrame:
+    """(doc, f): k topic shares for every row of ``docs``; documents without words get 1/k each.
+
+    ``method`` "online" keeps the topics (words x k numbers) on the driver; "joins" keeps them in tables, for
+    vocabularies of any size. The choice is the caller's and never made by a count.
+    """
     uniform = F.array_repeat(F.lit(1.0 / k), k)
     size = terms.select(*words).distinct().count()
     if not size:
         return docs.select("doc", uniform.alias("f"))
-    if size > MAX_VOCABULARY:
-        found = wide_mixtures(terms, k, words, seed)
-        return docs.join(found, "doc", "left").select("doc", F.coalesce("f", uniform).alias("f"))
-    vectors = word_vectors(terms, list(words), size)
-    # Batches are drawn by place in a partition: a fixed layout keeps the fit repeatable.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vectors = cut_lineage(vectors.repartition(parts, "doc").sortWithinPartitions("doc"))
-    rate = min(1.0, max(BATCH / vectors.count(), SMALLEST_RATE))
-    lda = LDA(
-        k=k, seed=seed, optimizer="online", subsamplingRate=rate, maxIter=math.ceil(PASSES / rate),
-        learningDecay=0.7, learningOffset=10.0, docConcentration=[1.0 / k], topicConcentration=1.0 / k,
-    )
-    shares = lda.fit(vectors).transform(vectors)
-    found = shares.select("doc", vector_to_array("topicDistribution").alias("f"))
+    if method == "joins":
+        found = fitted_mixtures(terms, k, words, seed, tolerance, rounds)
+    elif method == "online":
+        # The layout is fixed, so that the fit is repeatable.
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        vectors = cut_lineage(word_vectors(terms, list(words), size).repartition(parts, "doc").sortWithinPartitions("doc"))
+        lda = LDA(
+            k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=PASSES, learningDecay=0.7,
+            learningOffset=1.0, docConcentration=[1.0 / k], topicConcentration=1.0 / k,
+        )
+        shares = lda.fit(vectors).transform(vectors)
+        found = shares.select("doc", vector_to_array("topicDistribution").alias("f"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
     return docs.join(found, "doc", "left").select("doc", F.coalesce("f", uniform).alias("f"))
 
 
@@ -99,7 +106,7 @@ def _expected(column: Column, totals: np.ndarray | None = None) -> Column:
 
 
 def _weighted(entries: DataFrame, topics: DataFrame, shares: DataFrame, by: str, k: int, short: dict) -> DataFrame:
-    """(id, f): prior-free counts of each document or term, from the current topics and shares."""
+    """(id, f): the counts of each document or term, from the current topics and shares, with the prior."""
     beta, theta = topics.select(F.col("id").alias("term"), "b"), shares.select(F.col("id").alias("doc"), "t")
     joined = entries.join(F.broadcast(beta) if short["term"] else beta, "term")
     joined = joined.join(F.broadcast(theta) if short["doc"] else theta, "doc")
@@ -107,29 +114,40 @@ def _weighted(entries: DataFrame, topics: DataFrame, shares: DataFrame, by: str,
     summed = joined.select(by, "b", "t", (F.col("weight") / fit).alias("r")).groupBy(F.col(by).alias("id")).agg(
         *[F.sum(F.col("r") * F.col("b")[i] * F.col("t")[i]).alias(f"f{i}") for i in range(k)]
     )
-    return summed.select("id", *[F.col(f"f{i}") for i in range(k)])
+    return summed.select("id", F.array(*[F.col(f"f{i}") + F.lit(1.0 / k) for i in range(k)]).alias("f"))
+
+
+def _normalised(column: str) -> Column:
+    whole = F.aggregate(column, F.lit(0.0), lambda total, v: total + v)
+    return F.transform(column, lambda v: v / whole)
 
 
-def wide_mixtures(terms: DataFrame, k: int, words=("term",), seed: int = 71) -> DataFrame:
-    """(doc, f): topic shares by batch variational updates; only k sums per round reach the driver."""
+def fitted_mixtures(terms: DataFrame, k: int, words=("term",), seed: int = 71, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, f): topic shares by batch variational updates.
+
+    A round takes the documents' shares from the topics, then the topics from those shares. It is one job that writes both
+    tables; the mean change of a share, which is read from them, decides about another round.
+    """
     entries = terms.select("doc", F.struct(*words).alias("term"), F.col("tf").cast("double").alias("weight"))
-    entries = cut_lineage(entries)
+    entries = written(entries, "entries")
     ids = {side: entries.select(F.col(side).alias("id")).distinct() for side in ("doc", "term")}
     short = {side: is_short(found, BROADCAST_FACTORS) for side, found in ids.items()}
-    prior = F.lit(1.0 / k)
-    topics = start_factor(ids["term"], k, seed, positive=True)
-    topics = cut_lineage(topics.select("id", F.transform("f", lambda v: v + 1).alias("f")))
-    shares = ids["doc"].select("id", F.array_repeat(F.lit(1.0), k).alias("f"))
-
-    def with_prior(counts):
-        return cut_lineage(counts.select("id", F.array(*[F.col(f"f{i}") + prior for i in range(k)]).alias("f")))
-
-    for _ in range(ROUNDS):
+    start = start_factor(ids["term"], k, seed, positive=True)
+    topics = written(start.select("id", F.transform("f", lambda v: v + 1).alias("f")), "topics")
+    shares = written(ids["doc"].select("id", F.array_repeat(F.lit(1.0), k).alias("f")), "shares")
+    for _ in range(rounds):
         totals = np.array(topics.agg(*[F.sum(F.col("f")[i]).alias(f"s{i}") for i in range(k)]).first())
-        beta = cut_lineage(topics.select("id", _expected(F.col("f"), totals).alias("b")))
+        beta = topics.select("id", _expected(F.col("f"), totals).alias("b"))
         theta = shares.select("id", _expected(F.col("f")).alias("t"))
-        shares = with_prior(_weighted(entries, beta, theta, "doc", k, short))
+        after = _weighted(entries, beta, theta, "doc", k, short).withColumnRenamed("f", "new")
+        after = written(after.join(shares, "id"), "shares")
+        apart = F.zip_with(_normalised("new"), _normalised("f"), lambda x, y: F.abs(x - y))
+        change = after.agg(F.avg(F.aggregate(apart, F.lit(0.0), lambda total, v: total + v) / k)).first()[0]
+        shares = after.select("id", F.col("new").alias("f"))
+        if change < tolerance:
+            break
         theta = shares.select("id", _expected(F.col("f")).alias("t"))
-        topics = with_prior(_weighted(entries, beta, theta, "term", k, short))
-    whole = F.aggregate("f", F.lit(0.0), lambda total, v: total + v)
-    return shares.select(F.col("id").alias("doc"), F.transform("f", lambda v: v / whole).alias("f"))
+        topics = written(_weighted(entries, beta, theta, "term", k, short), "topics")
+    else:
+        warnings.warn(f"topic shares still changed by {change:.2g} after {rounds} rounds", stacklevel=2)
+    return cut_lineage(shares.select(F.col("id").alias("doc"), _normalised("f").alias("f")))

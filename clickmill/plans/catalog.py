@@ -477,7 +477,7 @@ def l_cooccurrence(spark, sf_dir):
 
 @query("l_vocab_min_df_E", over("E", VOCABULARY_SQL + " SELECT * FROM vocabulary"))
 def l_vocab_min_df(spark, sf_dir):
-    return D.vocabulary(_counts(spark, sf_dir), 2)
+    return D.vocabulary(_counts(spark, sf_dir), 2, drop_single_digit=True)
 
 
 @query(
@@ -492,7 +492,7 @@ def l_vocab_min_df(spark, sf_dir):
 )
 def l_tfidf(spark, sf_dir):
     counts = _counts(spark, sf_dir)
-    weights = D.tfidf(D.document_terms(counts, 2), D.document_count(counts))
+    weights = D.tfidf(D.document_terms(counts, 2, drop_single_digit=True), D.document_count(counts))
     return weights.withColumn("weight", F.round("weight", 6))
 
 
@@ -523,6 +523,11 @@ def l_user_docs(spark, sf_dir):
     ),
 )
 def l_item_docs(spark, sf_dir):
+    return D.item_documents(event_clicks(spark, sf_dir), drop_first_users=True)
+
+
+@query("l_item_docs_all_E", over("E", USERS_SQL + " SELECT app, ip, device, os, channel, tf FROM counts"))
+def l_item_docs_all(spark, sf_dir):
     return D.item_documents(event_clicks(spark, sf_dir))
 
 

@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not configured:
         if context.getCheckpointDir():
             return context.getCheckpointDir()
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         configured = tempfile.mkdtemp(prefix="clickmill-")
     if not context.getCheckpointDir():
@@ -51,3 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there."""
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a table in the scratch folder and go on from there: one job, and later readers take single columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -95,9 +95,8 @@ def test_long_vocabularies_are_fitted_by_joins(spark, monkeypatch):
     rows = [(d, 100 + 20 * (d % 2) + w, 1 + (d + w) % 3) for d in range(20) for w in range(0, 20, 1 + d % 4)]
     terms = spark.createDataFrame(rows, "doc int, term int, tf bigint")
     docs = spark.createDataFrame([(d,) for d in range(21)], "doc int")
-    monkeypatch.setattr(topics, "MAX_VOCABULARY", 10)
-    monkeypatch.setattr(topics, "ROUNDS", 8)
-    got = {r.doc: r.f for r in topics.topic_mixtures(terms, docs, 2).collect()}
+    monkeypatch.setattr(topics, "BROADCAST_FACTORS", 5)
+    got = {r.doc: r.f for r in topics.topic_mixtures(terms, docs, 2, method="joins", rounds=8).collect()}
     assert len(got) == 21 and got[20] == [0.5, 0.5]
     assert all(abs(sum(f) - 1) < 1e-9 for f in got.values())
     kind = [int(np.argmax(got[d])) for d in range(20)]
