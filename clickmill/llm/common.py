@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,31 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, pa.Array]]]:
+    """Rows that come sorted by whole-number ``keys``, gathered per value of them."""
+    held: list[pa.RecordBatch] = []
+    current: tuple = ()
+
+    def done() -> tuple[tuple, dict[str, pa.Array]]:
+        whole = pa.Table.from_batches(held)
+        return current, {c: pa.concat_arrays(whole[c].chunks) for c in whole.column_names}
+
+    for part in parts:
+        values = [part.column(part.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(max(0, part.num_rows - 1), bool)
+        for v in values:
+            new |= v[1:] != v[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), part.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            key = tuple(int(v[a]) for v in values)
+            if held and key != current:
+                yield done()
+                held = []
+            current = key
+            held.append(part.slice(a, b - a))
+    if held:
+        yield done()

@@ -7,20 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import discard, ship, table, utf8
+from .common import discard, runs, ship, table, utf8
 from .components import components
 from .heavy import heavy_keys, join_unique
 
 #: Counters of the frequency table, and those that travel as one row.
 BUCKETS, BLOCK = 1 << 22, 1 << 16
-#: A list is linked to its neighbours at these distances, so that long lists have short paths.
-LAGS = (1, 8, 64, 512, 4096)
-#: Parts into which the list of a frequent shingle is split.
-SALTS = 16
+#: Rows of a list, and of a family, that are compared in one piece.
+LIST_PIECE, FAMILY_PIECE = 512, 256
 #: Rows up to which a list of ids to look up is broadcast.
 SMALL = 200_000
 
@@ -45,7 +43,7 @@ def shingle_frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarra
                     held, size = [], 0
         if held:
             counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        yield from blocks(((k, counts[k * BLOCK : (k + 1) * BLOCK]) for k in range(BUCKETS // BLOCK)))
+        yield from blocks((k, counts[k * BLOCK : (k + 1) * BLOCK]) for k in range(BUCKETS // BLOCK))
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -69,103 +67,135 @@ def shingle_frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarra
 
 
 def describe(docs: DataFrame, frequencies, width: int, percent: int) -> DataFrame:
-    """Per row of ``docs(row, doc_id, text)``: set size, digest of the set, rare-first prefix and summary."""
+    """Per row of ``docs(row, doc_id, text)``: set size, digest of the set, rare-first prefix and histogram."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequencies.value
         for part in parts:
-            sizes, digests, prefixes, counts, sums = [], [], [], [], []
+            sizes, digests, prefixes, counts = [], [], [], []
             for text in utf8(part.column(2)):
                 got = S.shingle_set(text, width)
-                n = len(got)
-                first = S.prefix_length(n, percent)
-                order = np.argsort(often[got % np.uint64(BUCKETS)], kind="stable")[:first]
-                low, high = S.summary(got)
-                sizes.append(n)
+                order = np.argsort(often[got % np.uint64(BUCKETS)], kind="stable")[: S.prefix_length(len(got), percent)]
+                sizes.append(len(got))
                 digests.append(S.set_digest(got))
                 prefixes.append(got[order].view(np.int64))
-                counts.append(low)
-                sums.append(high)
+                counts.append(S.histogram(got).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array(sums, pa.binary())],
-                names=["row", "doc_id", "n", "digest", "prefix", "counts", "sums"],
+                [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+                names=["row", "doc_id", "n", "digest", "prefix", "counts"],
             )
 
-    return docs.mapInArrow(rows, "row bigint, doc_id bigint, n bigint, digest binary, prefix array<bigint>, counts binary, sums binary")
+    return docs.mapInArrow(rows, "row bigint, doc_id bigint, n bigint, digest binary, prefix array<bigint>, counts binary")
 
 
-def judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs(a, b)`` with ``least`` and ``most``, bounds of the intersection, and ``needed``; pairs that cannot link go."""
+def one_per_set(described: DataFrame) -> DataFrame:
+    """The rows of ``described`` with shingles, without those that repeat the set of an earlier row."""
+    filled = described.where("n > 0")
+    first = filled.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    twice = first.where("copies > 1").select("digest", F.col("row").alias("kept"))
+    repeats = table(join_unique(filled.select("row", "digest"), twice, "digest").where("row <> kept").select("row"), "repeats")
+    if repeats.count() <= SMALL:
+        return filled.join(F.broadcast(repeats), "row", "left_anti")
+    return table(filled.join(repeats, "row", "left_anti"), "classes")
+
+
+def pieces(rows: DataFrame, key: str, parts: Column) -> DataFrame:
+    """Each row once for every pair of pieces of its key that its own piece is part of.
+
+    ``parts`` is the number of pieces of the row's key. Columns ``low`` and ``high`` name the pair, ``piece`` the row's own.
+    """
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("row"), F.col("parts"))).otherwise(F.lit(0).cast("bigint"))
+    cut = rows.withColumn("parts", parts.cast("bigint")).withColumn("piece", own)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cut = cut.withColumn("low", F.least("piece", "other")).withColumn("high", F.greatest("piece", "other")).drop("other", "parts")
+    return cut.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "row")
+
+
+def lists(sets: DataFrame, percent: int) -> DataFrame:
+    """``(token, row, n, pos, parts)``: prefix shingles of at least two sets of similar size, with the pieces of their list.
+
+    Frequent shingles, a bounded number, are counted apart, so that a window holds a small share of all rows at most; in all
+    other lists those entries end here whose neighbours in order of size are too small or too large for a link.
+    """
+    posted = sets.select("row", F.posexplode("prefix").alias("pos", "token"), "n")
+    posted = posted.select("token", "row", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
+    heavy = table(heavy_keys(posted, "token"), "heavy")
+    hot = posted.join(F.broadcast(heavy), "token", "left_semi")
+    counted = F.broadcast(table(hot.groupBy("token").agg(F.count("*").alias("mates")), "hot"))
+    often = posted.join(counted, "token")
+
+    size = F.shiftright("place", 32)
+    order = Window.partitionBy("token").orderBy("place", "row")
+    rest = posted.join(F.broadcast(heavy), "token", "left_anti")
+    rest = rest.withColumn("mates", F.count("*").over(Window.partitionBy("token"))).withColumn("before", F.lag("place").over(order)).withColumn("after", F.lead("place").over(order))
+    near = (F.shiftright("before", 32) * 100 >= size * percent) | (size * 100 >= F.shiftright("after", 32) * percent)
+    both = often.unionByName(rest.where(near).drop("before", "after"))
+    return both.select("token", "row", size.alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.ceil(F.col("mates") / LIST_PIECE).alias("parts"))
 
-    def bounds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            cols = [c.to_pylist() for c in part.columns]
-            low, high, need = [], [], []
-            for _, _, na, ca, sa, nb, cb, sb in zip(*cols, strict=True):
-                least, most = S.overlap_bounds(ca, sa, cb, sb)
-                low.append(least)
-                high.append(most)
-                need.append(S.needed(na, nb, percent))
-            out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(need, pa.int64())], names=["a", "b", "least", "most", "needed"])
-            yield out.filter(pa.array([h >= o for h, o in zip(high, need, strict=True)], pa.bool_()))
-
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("row").alias(name), F.col("n").alias(f"n{name}"), F.col("counts").alias(f"c{name}"), F.col("sums").alias(f"s{name}"))
-
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ca", "sa", "nb", "cb", "sb")
-    return wide.mapInArrow(bounds, "a bigint, b bigint, least bigint, most bigint, needed bigint")
-
-
-def exact_links(unsure: DataFrame, docs: DataFrame, sets: DataFrame, width: int, text_col: str) -> DataFrame:
-    """Those of ``unsure(a, b, needed)`` whose whole texts share enough shingles, each pair compared once."""
-    ends = unsure.select(F.col("a").alias("row")).unionByName(unsure.select(F.col("b").alias("row"))).distinct()
-    wanted = table(sets.join(ends, "row", "left_semi").select("row", "digest", F.col("doc_id").alias("wanted_id")), "wanted")
-    ids = wanted.select("wanted_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= SMALL else ids
-    source = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted_id"]), "left_semi").select(text_col)
-
-    def full(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            got = [S.shingle_set(text, width) for text in utf8(part.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([S.set_digest(x) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["digest", "hashes"])
 
-    found = source.mapInArrow(full, "digest binary, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
-    hashed = table(wanted.join(found, "digest").select("row", "hashes"), "hashed")
+def candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect all rows which some list joins by pairs that pass the length, positional and
+    suffix filters: a piece of a list sends fewer edges than it has rows, however many pairs pass."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(parts, ["token", "low", "high"]):
+            row, n, pos, piece = (rows[c].to_numpy(zero_copy_only=False) for c in ("row", "n", "pos", "piece"))
+            if len(row) < 2:
+                continue
+            i, j = pairs_of(n, piece, rows["low"][0].as_py() != rows["high"][0].as_py(), percent)
+            i, j = (x[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= S.needed(n[i], n[j], percent)] for x in (i, j))
+            if not len(i):
+                continue
+            counts = [np.frombuffer(c, np.uint8) for c in rows["counts"].to_pylist()]
+            keep = S.similar_histograms(counts, n, i, j, percent)
+            edges = S.spanning(len(row), i[keep], j[keep])
+            if edges:
+                a, b = np.array(edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], names=["a", "b"])
+
+    return entries.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def pairs_of(n: np.ndarray, piece: np.ndarray, across: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of similar size of a piece, or of one row of each of two pieces."""
+    near = (np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * percent) & (np.not_equal.outer(piece, piece) if across else True)
+    return np.nonzero(np.triu(near, 1))
+
+
+def links_in_families(docs: DataFrame, sets: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between sets of one family, by their whole texts; connected pairs are not compared again.
+
+    ``families(node, root)`` name the rows that candidates connect, so no link leaves a family. Each text is read by
+    its id, checked by the digest of its set, and sent once per pair of pieces of its family.
+    """
+    sizes = families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_PIECE).alias("parts"))
+    named = join_unique(families, sizes, "root").withColumnRenamed("node", "row")
+    wanted = table(sets.select("row", "digest", F.col("doc_id").alias("wanted")).join(named, "row"), "wanted")
+    short = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    texts = docs.join(short, docs["doc_id"].eqNullSafe(short["wanted"])).select("root", "row", "parts", "digest", "text")
+
+    def load(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = []
-            for need, x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= need)
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = hashed.select(F.col("row").alias("a"), F.col("hashes").alias("ha"))
-    right = hashed.select(F.col("row").alias("b"), F.col("hashes").alias("hb"))
-    wide = unsure.join(left, "a").join(right, "b").select("a", "b", "needed", "ha", "hb")
-    return wide.mapInArrow(compare, "a bigint, b bigint")
-
-
-def neighbours(entries: DataFrame) -> DataFrame:
-    """Pairs of near neighbours in each list of ``entries(token, salt, n, row)``: at most ``len(LAGS)`` per entry."""
-    order = Window.partitionBy("token", "salt").orderBy("n", "row")
-    near = F.array(*(F.lag("row", k).over(order) for k in LAGS))
-    return entries.select("row", near.alias("near")).select(F.col("row").alias("b"), F.explode("near").alias("a")).where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def open_pairs(entries: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
-    """All pairs ``(a, b)`` that share a prefix shingle, are in different components and pass the length and
-    positional filters at it. ``entries(token, n, pos, row, root)``; lists of ``heavy`` tokens are cut into parts."""
-    hot = entries.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "token", "left")
-    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    one = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    x = hot.select("token", one.alias("salt"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("row").alias("x"), F.col("root").alias("rx"))
-    y = hot.select("token", F.explode(parts).alias("salt"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("row").alias("y"), F.col("root").alias("ry"))
-    shorter = "(nx < ny or nx = ny and x < y) and rx <> ry"
-    length = f"100 * nx >= {percent} * ny"
-    position = f"least(nx - px, ny - py) * {100 + percent} >= {percent} * (nx + ny)"
-    met = x.join(y, ["token", "salt"]).where(f"{shorter} and {length} and {position}")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            got = [S.shingle_set(text, width) for text in utf8(part.column(4))]
+            same = pa.array([S.set_digest(x) == d for x, d in zip(got, part.column(3).to_pylist(), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in got], pa.binary())], names=["root", "row", "parts", "hashes"])
+            yield out.filter(same)
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(parts, ["root", "low", "high"]):
+            row, first = np.unique(rows["row"].to_numpy(zero_copy_only=False), return_index=True)
+            packed = rows["hashes"].to_pylist()
+            sets_ = [np.frombuffer(packed[k], np.uint64) for k in first]
+            n = np.array([len(s) for s in sets_])
+            i, j = pairs_of(n, rows["piece"].to_numpy(zero_copy_only=False)[first], rows["low"][0].as_py() != rows["high"][0].as_py(), percent)
+            keep = S.similar_histograms([S.histogram(s) for s in sets_], n, i, j, percent) if len(i) else np.zeros(0, bool)
+            edges = S.exact_links(sets_, i[keep], j[keep], percent)
+            if edges:
+                a, b = np.array(edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], names=["a", "b"])
+
+    loaded = texts.mapInArrow(load, "root bigint, row bigint, parts bigint, hashes binary")
+    return pieces(loaded, "root", F.col("parts")).mapInArrow(compare, "a bigint, b bigint")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -177,14 +207,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own; an empty table gives no rows. Other columns are not looked at.
 
     1. Document frequencies of all shingles, hashed into a table of fixed size, give the rare-first order.
-    2. Rows with the same set become one class; a row per class goes on.
-    3. Two linked sets share a shingle among their first ``n - ceil(t n) + 1``. Each class sends that prefix; lists of
-       one entry end here. Every entry is first compared with near neighbours of its list, in order of length:
-       hash-range summaries prove most links or their absence. This links large groups of copies by few pairs.
-    4. Exact part: lists whose entries are all in one component are done. In the others each pair in different
-       components that passes length, positional and suffix (summary) filters is a candidate, and those that the
-       summaries cannot decide are compared by their whole sets, once per pair. No pair is skipped but
-       those already connected, so components are exact.
+    2. Of rows with the same set, one goes on.
+    3. Two linked sets share a shingle among their first ``n - ceil(t n) + 1``; each set sends that prefix, and lists
+       of shingles that no other set of similar size sends end there.
+    4. Within each list, cut into pieces of bounded size, pairs that pass the length, positional and suffix (histogram)
+       filters connect their rows. A piece answers with a spanning forest, so copies cost as many edges as there are rows.
+    5. The families that these edges make are compared by their whole sets, piece by piece, once per pair of sets that is not
+       yet connected. No link is skipped but between rows already connected, so components are exact.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -194,49 +223,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     described = table(describe(numbered, frequencies, width, percent), "sets")
     frequencies.unpersist()
 
-    firsts = [F.first(c).alias(c) for c in ("n", "doc_id", "prefix", "counts", "sums")]
-    sets = table(described.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), *firsts), "classes")
-
-    posted = sets.select("row", "n", F.posexplode("prefix").alias("pos", "token"))
-    heavy = table(heavy_keys(posted, "token"), "heavy")
-    salted = posted.join(F.broadcast(heavy.withColumn("hot", F.lit(True))), "token", "left")
-    salted = salted.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    in_list = F.count("*").over(Window.partitionBy("token", "salt"))
-    entries = salted.withColumn("mates", in_list).where("mates > 1 or hot").select("token", "salt", "n", "pos", "row")
-    entries = table(entries, "entries")
-
-    judged = table(judge(neighbours(entries), sets, percent), "near")
-    roots = components(judged.where("least >= needed").select("a", "b"))
-    named = relabel(entries, roots)
-    # the smallest entry of each component in a list, once more beside its neighbours, now over whole lists
-    heads = named.groupBy("token", "root").agg(F.min(F.struct("n", "row")).alias("h")).select("token", F.lit(0).alias("salt"), "h.n", "h.row")
-    heads = heads.withColumn("mates", F.count("*").over(Window.partitionBy("token"))).where("mates > 1")
-    judged_heads = table(judge(neighbours(heads), sets, percent), "near")
-    sure = judged.where("least >= needed").select("a", "b").unionByName(judged_heads.where("least >= needed").select("a", "b"))
-    roots = components(sure)
-
-    spread = Window.partitionBy("token", "salt")
-    named = relabel(entries, roots)
-    mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    still = table(named.join(mixed, "token", "left_semi"), "open")
-    open_judged = table(judge(open_pairs(still, heavy, percent), sets, percent), "candidates")
-    unsure = table(open_judged.where("least < needed").select("a", "b", "needed"), "unsure")
-    links = sure.unionByName(open_judged.where("least >= needed").select("a", "b"))
-    links = links.unionByName(exact_links(unsure, source, sets, width, "text"))
-    roots = components(links)
-
-    classes = relabel(sets.select("digest", "row"), roots).select("digest", "root")
-    grouped = table(join_unique(described.select("row", "doc_id", "n", "digest"), classes, "digest").select("row", "doc_id", "n", "root"), "grouped")
-    lowest = grouped.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    result = join_unique(grouped, lowest, "root")
-    discard(entries, judged, judged_heads, still, open_judged, sets)
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with the root of each ``row``, itself if it has no link."""
-    named = join_unique(rows, roots.withColumnRenamed("node", "row"), "row")
-    return named.withColumn("root", F.coalesce("root", "row"))
+    sets = one_per_set(described)
+    listed = table(lists(sets, percent), "lists")
+    entries = pieces(listed.join(sets.select("row", "counts"), "row"), "token", F.col("parts"))
+    families = components(candidates(entries, percent))
+    roots = components(links_in_families(source, sets, families, width, percent))
+
+    rows = described.select("row", "doc_id", "n", "digest")
+    linked = rows.join(roots.withColumnRenamed("node", "row"), "row") if roots.count() > SMALL else rows.join(F.broadcast(roots.withColumnRenamed("node", "row")), "row")
+    first = rows.groupBy("digest").agg(F.min("row").alias("first"))
+    named = first.join(linked.select("digest", "root"), "digest", "left").select("digest", F.coalesce("root", "first").alias("root"))
+    grouped = table(join_unique(rows, table(named, "roots"), "digest").select("doc_id", "n", "root"), "grouped")
+    lowest = table(grouped.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
+    discard(described, listed)
+    return join_unique(grouped, lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:

@@ -7,6 +7,8 @@ import xxhash
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORDS_KEPT = 500_000
+#: Fewest and most hash ranges of a histogram.
+LEAST_PARTS, MOST_PARTS = 16, 1 << 14
 
 
 class WordHashes(dict):
@@ -50,44 +52,24 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def parts_of(n: int) -> int:
-    """Number of hash ranges, a power of two with about eight shingles each, 65,536 at most."""
-    return 1 << min(16, max(0, (n // 8).bit_length()))
+    """Number of hash ranges of a histogram, a power of two with 8 to 16 shingles each."""
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << (n // 16).bit_length()))
 
 
-def summary(shingles: np.ndarray) -> tuple[bytes, bytes]:
-    """Count and sum (modulo 2^64) of the hashes in each of ``parts_of`` equal hash ranges."""
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """How many hashes are in each of ``parts_of`` equal hash ranges, 255 standing for more."""
     parts = parts_of(len(shingles))
-    cuts = np.searchsorted(shingles, np.arange(parts, dtype=np.uint64) << np.uint64(64 - parts.bit_length() + 1) if parts > 1 else np.zeros(1, np.uint64))
-    ends = np.append(cuts[1:], len(shingles))
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles, dtype=np.uint64)])
-    return (ends - cuts).astype("<u4").tobytes(), (running[ends] - running[cuts]).astype("<u8").tobytes()
+    at = (shingles >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=parts), 255).astype(np.uint8)
 
 
-def _fold(values: np.ndarray, parts: int) -> np.ndarray:
-    return values.reshape(parts, -1).sum(axis=1, dtype=values.dtype)
+def fold(histograms: np.ndarray, parts: int) -> np.ndarray:
+    """Rows of histograms over fewer ranges; full counters stay full."""
+    whole = histograms.reshape(len(histograms), parts, -1)
+    return np.where((whole == 255).any(axis=2), 255, np.minimum(whole.sum(axis=2, dtype=np.int64), 255)).astype(np.int16)
 
 
-def overlap_bounds(counts_a: bytes, sums_a: bytes, counts_b: bytes, sums_b: bytes) -> tuple[int, int]:
-    """Least and largest size of the intersection of two summarised sets.
-
-    Ranges with equal count and sum hold the same shingles. In any other range the smaller count, less one if the
-    counts are equal, is the most that can be shared: summed over ranges this is the suffix filter's bound on
-    the Hamming distance, with fixed instead of probed cuts.
-    """
-    ca, cb = np.frombuffer(counts_a, "<u4"), np.frombuffer(counts_b, "<u4")
-    sa, sb = np.frombuffer(sums_a, "<u8"), np.frombuffer(sums_b, "<u8")
-    parts = min(len(ca), len(cb))
-    if len(ca) > parts:
-        ca, sa = _fold(ca, parts), _fold(sa, parts)
-    if len(cb) > parts:
-        cb, sb = _fold(cb, parts), _fold(sb, parts)
-    same = (ca == cb) & (sa == sb)
-    least = int(ca[same].sum())
-    open_ = ~same
-    return least, least + int(np.minimum(ca[open_], cb[open_]).sum()) - int((ca[open_] == cb[open_]).sum())
-
-
-def needed(n_a: int, n_b: int, percent: int) -> int:
+def needed(n_a, n_b, percent: int):
     """Smallest intersection for which 100 * intersection >= percent * union."""
     return -(-percent * (n_a + n_b) // (100 + percent))
 
@@ -95,3 +77,72 @@ def needed(n_a: int, n_b: int, percent: int) -> int:
 def prefix_length(n: int, percent: int) -> int:
     """Two linked sets share one of their first so many shingles in any common order."""
     return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def similar_histograms(histograms: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs ``(i, j)`` can have enough shingles in common, by the suffix filter.
+
+    Ranges in which one set has more shingles than the other hold shingles of the symmetric difference, at least as many
+    as the counts differ by. A sum of such differences that leaves too few shingles for the intersection rules a pair out.
+    """
+    parts = np.array([len(h) for h in histograms])
+    keep = np.zeros(len(i), bool)
+    low = np.minimum(parts[i], parts[j])
+    for p in np.unique(low):
+        folded = {}
+        at = np.flatnonzero(low == p)
+        for size in np.unique(parts[parts >= p]):
+            rows = np.flatnonzero(parts == size)
+            folded[size] = (rows, fold(np.stack([histograms[r] for r in rows]), p))
+        table = np.zeros((len(histograms), p), np.int16)
+        for rows, values in folded.values():
+            table[rows] = values
+        step = max(1, (1 << 22) // int(p))
+        for k in range(0, len(at), step):
+            s = at[k : k + step]
+            apart = np.abs(table[i[s]] - table[j[s]]).sum(axis=1, dtype=np.int64)
+            both = sizes[i[s]] + sizes[j[s]]
+            keep[s] = (both - apart) // 2 >= needed(sizes[i[s]], sizes[j[s]], percent)
+    return keep
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join the same of ``n`` nodes as the pairs ``(i, j)`` do, fewer than nodes."""
+    if not len(i):
+        return []
+    near = np.zeros((n, n), bool)
+    near[i, j] = near[j, i] = True
+    todo = near.any(axis=1)
+    out = []
+    while todo.any():
+        first = int(todo.argmax())
+        todo[first] = False
+        frontier = np.array([first])
+        while len(frontier):
+            reached = np.flatnonzero(near[frontier].any(axis=0) & todo)
+            todo[reached] = False
+            out += [(first, int(r)) for r in reached]
+            frontier = reached
+    return out
+
+
+def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Those pairs ``(i, j)`` of sets that are similar enough; a pair that earlier ones connect is not looked at."""
+    at = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while at[x] != x:
+            at[x] = at[at[x]]
+            x = at[x]
+        return x
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        rx, ry = find(x), find(y)
+        if rx != ry:
+            a, b = sets[x], sets[y]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                at[ry] = rx
+                out.append((x, y))
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clickmill.session import scratch_path
 
-from .common import ship, table
+from .common import runs, ship, table
 from .encode import encoder
 from .hashindex import look_up, mix, pack
 
@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
 
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, base = filesystem(path)
-        for bucket, rows in runs(parts, "bucket"):
+        for (bucket,), rows in runs(parts, ["bucket"]):
             data = pack(key_hash(rows["doc_id"], rows["nth"]), *(rows[c].to_numpy(zero_copy_only=False) for c in ("shard", "offset", "length")))
             temporary = f"{base}/.{uuid4().hex}"
             with there.open_output_stream(temporary) as out:
@@ -141,27 +141,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
     return TokenFiles(path, buckets, entries, shards)
 
 
-def runs(parts: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, dict[str, pa.Array]]]:
-    """Rows sorted by ``column``, gathered per value."""
-    held: list[pa.RecordBatch] = []
-
-    def done() -> tuple[int, dict[str, pa.Array]]:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        return whole[column][0].as_py(), {c: whole[c].combine_chunks() if whole[c].num_chunks != 1 else whole[c].chunk(0) for c in whole.column_names}
-
-    for part in parts:
-        values = part.column(part.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                if held and held[-1].column(held[-1].schema.get_field_index(column))[0].as_py() != values[a]:
-                    yield done()
-                    held = []
-                held.append(part.slice(a, b - a))
-    if held:
-        yield done()
-
-
 def find(files: TokenFiles, keys: DataFrame) -> DataFrame:
     """``keys(doc_id, nth)`` that the index holds, with shard, offset and length: one index file is read per
     bucket of keys, and each key costs a few hashes and one slot."""
@@ -170,7 +149,7 @@ def find(files: TokenFiles, keys: DataFrame) -> DataFrame:
 
     def locate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, base = filesystem(path)
-        for bucket, rows in runs(parts, "bucket"):
+        for (bucket,), rows in runs(parts, ["bucket"]):
             name = f"{base}/index-{bucket}.mph"
             if there.get_file_info(name).type == arrow_fs.FileType.NotFound:
                 continue

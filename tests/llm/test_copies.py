@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from clickmill.llm import heavy
+from clickmill.llm import jaccard
 from clickmill.llm import shingles as S
 from clickmill.llm.components import components
 from clickmill.llm.exact import exact_duplicates
@@ -137,11 +137,12 @@ def test_near_groups_against_all_pairs(spark, cluster, percent):
     assert got == {k: (sizes[k], roots[k]) for k in range(len(cluster))}
 
 
-def test_near_groups_with_every_list_split(spark, cluster, monkeypatch):
-    monkeypatch.setattr(heavy.heavy_keys, "__defaults__", (100000,))
-    texts = cluster[:200]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    roots, _ = linked_groups(texts)
+def test_near_groups_with_lists_and_families_in_pieces(spark, cluster, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_PIECE", 20)
+    monkeypatch.setattr(jaccard, "FAMILY_PIECE", 15)
+    monkeypatch.setattr(jaccard, "SMALL", 10)
+    docs = spark.createDataFrame(list(enumerate(cluster)), "doc_id bigint, text string").repartition(3)
+    roots, _ = linked_groups(cluster)
     assert {r.doc_id: r.component_id for r in jaccard_groups(docs).collect()} == dict(enumerate(roots))
 
 
@@ -159,10 +160,38 @@ def test_bounds_and_prefixes(a, b, percent):
     hashed = lambda s: np.unique(np.array([hash((x, "s")) & (2**64 - 1) for x in s], np.uint64))
     x, y = hashed(a), hashed(b)
     both = len(np.intersect1d(x, y))
-    least, most = S.overlap_bounds(*S.summary(x), *S.summary(y))
-    assert least <= both <= most
+    sizes = np.array([len(x), len(y)])
+    passed = S.similar_histograms([S.histogram(x), S.histogram(y)], sizes, np.array([0]), np.array([1]), percent)[0]
     linked = 100 * both >= percent * (len(x) + len(y) - both)
     assert linked == (both >= S.needed(len(x), len(y), percent))
+    assert [(0, 1)] * linked == S.exact_links([x, y], np.array([0]), np.array([1]), percent)
     if linked:
+        assert passed
         p, q = (z[: S.prefix_length(len(z), percent)] for z in (x, y))
         assert len(np.intersect1d(p, q))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 12), st.data())
+def test_spanning_edges_connect_alike(n, data):
+    pairs = data.draw(st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)).filter(lambda p: p[0] != p[1]), max_size=20))
+    i, j = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+
+    def groups(edges):
+        at = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    edges = S.spanning(n, i, j)
+    assert groups(edges) == groups(pairs) and len(edges) < n
+
+
+def test_long_histograms_fold():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 2**63, 40000, dtype=np.uint64) * np.uint64(2))
+    y = x[200:]
+    assert S.similar_histograms([S.histogram(x), S.histogram(y)], np.array([len(x), len(y)]), np.array([0]), np.array([1]), 90)[0]
+    z = np.unique(rng.integers(0, 2**63, 40000, dtype=np.uint64) * np.uint64(2))
+    assert not S.similar_histograms([S.histogram(x), S.histogram(z)], np.array([len(x), len(z)]), np.array([0]), np.array([1]), 90)[0]
