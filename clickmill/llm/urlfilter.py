@@ -21,12 +21,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Most labelled URLs to learn from; trees, their depth; suffixes up to which their table is broadcast, parts beyond.
+#: Most labelled URLs to learn from; trees, their depth; suffixes (or heads of paths) up to which their table is broadcast, parts beyond.
 SAMPLE, TREES, DEPTH, SMALL, SALTS = 20_000, 15, 4, 200_000, 16
 
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "host_label", "digits", "host_digits", "signs", "hyphens", "entropy", "host_entropy",
-    "parameters", "query_length", "fragment", "secure", "extension", "suffix_log_count", "suffix_share", "suffix_mean_length",
+    "parameters", "query_length", "fragment", "secure", "extension", "suffix_log_count", "suffix_share", "suffix_mean_length", "head_log_count", "head_share", "head_mean_length",
 )
 
 
@@ -85,20 +85,25 @@ def lexical(pages: DataFrame) -> DataFrame:
     return pages.withColumns({f"f_{k}": v.cast("double") for k, v in columns.items()})
 
 
-def with_suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Adds how many URLs of the whole table share the suffix, as a log and a share, and their mean length.
+def head(path: Column) -> Column:
+    """The first part of a path."""
+    return F.regexp_extract(path, "^/?([^/]*)", 1)
 
-    Counting combines before its shuffle. The table of suffixes is broadcast if it is counted to be short; else frequent
-    suffixes are spread over ``SALTS`` parts, for which the table is repeated.
+
+def with_statistics(pages: DataFrame, column: str) -> DataFrame:
+    """Adds how many URLs of the whole table share the value of ``column``, as a log and a share, and their mean length.
+
+    Counting combines before its shuffle. The table of values is broadcast if it is counted to be short; else frequent
+    values are spread over ``SALTS`` parts, for which the table is repeated.
     """
-    counts = table(pages.groupBy("suffix").agg(F.count("*").alias("n"), F.avg(F.length("url")).alias("mean")), "suffixes")
+    counts = table(pages.groupBy(column).agg(F.count("*").alias("n"), F.avg(F.length("url")).alias("mean")), column)
     total = max(1, counts.agg(F.sum("n")).first()[0] or 1)
-    facts = counts.select("suffix", F.log1p("n").alias("f_suffix_log_count"), (F.col("n") / total).alias("f_suffix_share"), F.col("mean").alias("f_suffix_mean_length"))
+    facts = counts.select(column, F.log1p("n").alias(f"f_{column}_log_count"), (F.col("n") / total).alias(f"f_{column}_share"), F.col("mean").alias(f"f_{column}_mean_length"))
     if facts.count() <= SMALL:
-        return pages.join(F.broadcast(facts), "suffix")
+        return pages.join(F.broadcast(facts), column)
     left = pages.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
     right = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return left.join(right, ["suffix", "salt"]).drop("salt")
+    return left.join(right, [column, "salt"]).drop("salt")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, rows: int = SAMPLE) -> DataFrame:
@@ -107,14 +112,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Rules decide where one fits. All other URLs, null (taken as empty) ones too, get the verdict of trees that learn from the
     URLs with a rule, at most about ``rows`` of them, the same number of either verdict, chosen by a hash of the URL. If all
     labels are alike, that is the verdict; without any it is ``allow``. Repeated rows are judged one by one, other columns are
-    not looked at, and an empty table gives no rows. Scoring is a pass over the URLs; only counts per suffix are shuffled.
+    not looked at, and an empty table gives no rows. Scoring is a pass over the URLs; only counts per host suffix and first part of the path are shuffled.
     """
     host, path = host_and_path(F.col("url"))
     source = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"))
     cut = source.withColumn("host", host).withColumn("path", path)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    cut = cut.withColumns({"rule": name, "by_rule": verdict, "suffix": suffix(F.col("host"))})
-    described = lexical(with_suffix_statistics(cut))
+    cut = cut.withColumns({"rule": name, "by_rule": verdict, "suffix": suffix(F.col("host")), "head": head(F.col("path"))})
+    described = lexical(with_statistics(with_statistics(cut, "suffix"), "head"))
 
     counts = {r.by_rule: r["count"] for r in cut.where("rule is not null").groupBy("by_rule").count().collect()}
     if len(counts) < 2:
