@@ -319,6 +319,15 @@ _grouped("w_past_ratio_600_E", "E", [G.past_click_ratio(600)], SOME)
 _grouped("w_past_ratio_4800_E", "E", [G.past_click_ratio(4800)], SOME)
 _grouped("w_avg_attr_ratio_E", "E", [G.average_attributed_ratio()], SOME)
 
+# Every grouped feature over all 31 masks; the queries above time a few masks of each.
+_grouped("a_hourly_click_count_all_masks_E", "E", [G.hourly_click_count()])
+_grouped("w_cumulative_all_masks_E", "E", [G.cumulative_click_count()])
+_grouped("w_cumulative_future_all_masks_E", "E", [G.cumulative_click_count_future()])
+_grouped("w_future_count_60_all_masks_E", "E", [G.future_click_count(60)])
+_grouped("w_past_count_600_all_masks_E", "E", [G.past_click_count(600)])
+_grouped("w_future_ratio_600_all_masks_E", "E", [G.future_click_ratio(600)])
+_grouped("w_past_ratio_600_all_masks_E", "E", [G.past_click_ratio(600)])
+
 # The features most configurations use, over all 31 masks in one pass.
 COMMON = [
     G.future_click_count(600), G.future_click_count(4800), G.next_click_time_delta(),
@@ -357,6 +366,8 @@ def _median(name: str, kind: str, masks, strategy: str = "auto"):
 _median("a_median_attr_L", "all", SOME)
 _median("w_median_past_L", "past", SOME)
 _median("w_median_past_v2_L", "past_v2", SOME)
+_median("a_median_attr_all_masks_L", "all", ALL)
+_median("w_median_past_all_masks_L", "past", ALL)
 _median("w_median_past_v2_all_masks_L", "past_v2", ALL)
 _median("a_median_attr_L_cells", "all", SOME, "cells")
 _median("w_median_past_L_cells", "past", SOME, "cells")
@@ -554,11 +565,32 @@ def _configured(name: str):
     query(f"l_{name}_E")(run)
 
 
-# The named configurations are one function with other parameters. The two with 20 pairs of SVD
-# or NMF are left to the feature registry; their variants without device are here.
+# The named configurations are one function with other parameters.
 for _name in latent.SPECS:
-    if _name not in ("komaki_pca_5", "komaki_nmf_5"):
-        _configured(_name)
+    _configured(_name)
+
+
+CHECKED = (("ip", "app"), ("app", "ip"))
+
+
+def _checked(name: str, method: str, sql: str, columns):
+    """What must hold for every click's vectors of a method, beside SQL that says the same of every click."""
+    spec = latent.LatentSpec("Checked", method, 5, 2, CHECKED)
+
+    def run(spark, sf_dir):
+        rows = latent.add_latent_vectors(event_clicks(spark, sf_dir), spec)
+        vectors = {(a, b): [F.col(f"Checked_{a}_{b}_{i}") for i in range(5)] for a, b in CHECKED}
+        return rows.select("row_id", *[columns(v).alias(f"ok_{a}_{b}") for (a, b), v in vectors.items()])
+
+    query(name, over("E", sql))(run)
+
+
+ALWAYS = "SELECT row_id, TRUE AS ok_ip_app, TRUE AS ok_app_ip FROM clicks"
+# Shares are positive and sum to one; parts of a non-negative factorisation are not below zero.
+_checked("l_lda_shares_E", "lda", ALWAYS, lambda v: (F.abs(sum(v) - 1) < 1e-4) & (F.least(*v) > 0))
+_checked("l_nmf_signs_E", "nmf", ALWAYS, lambda v: F.least(*v) >= 0)
+# A document is zero in the SVD just if no word of it is in two documents or more, or all its weight is beyond the rank.
+_checked("l_svd_finite_E", "svd", ALWAYS, lambda v: F.abs(sum(x * x for x in v)) <= 1.0001)
 
 
 def _row_features(name: str, add):
@@ -675,6 +707,19 @@ def e_gbt_scores(spark, sf_dir):
     return training.score(final, table.where("NOT is_train")).select("row_id", "prediction")
 
 
+@query("e_score_range_E", over("E", "SELECT row_id, TRUE AS is_share FROM clicks WHERE NOT is_train"))
+def e_score_range(spark, sf_dir):
+    """Every test click, and no other, has a score between 0 and 1."""
+    return e_gbt_scores(spark, sf_dir).select("row_id", F.col("prediction").between(0, 1).alias("is_share"))
+
+
+@query("e_importance_total_E", f"SELECT {len(DESIGN.columns)}::BIGINT AS features, 1.0::DOUBLE AS gain, 1.0::DOUBLE AS cuts FROM events LIMIT 1")
+def e_importance_total(spark, sf_dir):
+    model, _, _, _ = _model(spark, sf_dir)
+    kinds = [training.feature_importance(model, kind) for kind in ("gain", "split")]
+    return spark.createDataFrame([(len(kinds[0]), *(round(sum(k.values()), 9) for k in kinds))], "features bigint, gain double, cuts double")
+
+
 @query("e_feature_importance_E")
 def e_feature_importance(spark, sf_dir):
     model, _, _, _ = _model(spark, sf_dir)

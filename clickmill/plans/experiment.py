@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,16 @@ class Outcome:
     models: list = field(default_factory=list)
 
 
+def input_names(*logs: DataFrame) -> list[str]:
+    """What identifies the logs: their files, with the number of rows and a sum of row hashes, which also tells apart
+    other rows of the same files."""
+    names = []
+    for log in logs:
+        whole = log.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*log.columns).cast("decimal(38,0)")).alias("h")).first()
+        names += [*sorted(log.inputFiles()), f"{whole.n}:{whole.h}"]
+    return names
+
+
 def feature_table(clicks: DataFrame, config: dict, compat: bool, masks=None) -> DataFrame:
     """row_id, click_id and is_train with every column the models and the splits need."""
     names = list(dict.fromkeys([*config["features"], "hour", TARGET, *dataset.FILTER_COLUMNS]))
@@ -65,10 +76,13 @@ def run_experiment(
     train_only: bool = False,
     validation_start: str | None = None,
     masks=None,
-    inputs=("train", "test"),
+    inputs: Iterable[str] | None = None,
 ) -> Outcome:
     """Run ``config`` on typed clicks.
 
+    Stored features are reused only for the same ``inputs``: names of the data that the caller vouches for, or by default
+    the files that the two logs are read from. Logs that come from no file are told apart by a digest of their rows.
+
     Features are computed on the full log and stored; bags select rows from that table only
     afterwards. Without ``negative_down_sampling.enabled`` there is one bag with all rows.
     """
@@ -82,7 +96,7 @@ def run_experiment(
         tuple(c for item in resolve(config["features"], compat) for c in item.categorical),
     )
     clicks = stack(train.withColumn("click_id", F.lit(None).cast("bigint")), test)
-    store = FeatureStore(spark, cache, inputs)
+    store = FeatureStore(spark, cache, inputs if inputs is not None else input_names(train, test))
     key = hashlib.md5(json.dumps([sorted(config["features"]), compat, masks and sorted(masks)]).encode())
     table = store.get(f"table-{key.hexdigest()[:10]}", lambda: feature_table(clicks, config, compat, masks))
 

@@ -24,7 +24,6 @@ from clickmill.operators import latent
 from clickmill.operators.attribution import KINDS, add_median_attribute_time
 from clickmill.operators.basic import COUNTS, add_basic_counts
 from clickmill.operators.duplicates import add_duplicate_row_index_diff
-from clickmill.operators.frames import DIRECT_GROUP_ROWS
 
 TARGET = "is_attributed"
 
@@ -135,8 +134,6 @@ def add_features(clicks: DataFrame, names, compat: bool = False, masks=None, str
 
 
 def grouped_apply(clicks: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str):
-    """Way out for a custom group rule in pandas. A group must fit one task, so its size is checked."""
-    largest = clicks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest > DIRECT_GROUP_ROWS:
-        raise ValueError(f"a group of {keys} has {largest} rows; state the rule with frames.add_needs instead")
+    """Way out for a custom group rule in pandas. Each group must fit the memory of one task; rules for groups that do
+    not are to be stated with ``frames.add_needs``."""
     return clicks.groupBy(*keys).applyInPandas(function, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clickmill.operators.ranks import exact_auc, number_rows, tied_ranks
 from clickmill.plans import registry, scoring, training
-from clickmill.plans.experiment import run_experiment
+from clickmill.plans.experiment import input_names, run_experiment
 from clickmill.session import scratch_path
 from clickmill.sources import clicks as C
 from clickmill.sources.store import FeatureStore, assemble
@@ -147,6 +147,17 @@ def test_store_reuses_and_assemble_checks(spark):
         assemble([first, spark.range(4).selectExpr("id AS row_id", "id AS y")])
 
 
+def test_another_log_has_another_key(spark):
+    train, test = learnable(spark, 60)
+    same, other = learnable(spark, 60)[0], train.where("row_id < 59")
+    assert input_names(train, test) == input_names(same, test)
+    assert input_names(train, test) != input_names(other, test)
+    path = scratch_path(spark, "log")
+    train.write.parquet(path)
+    read = spark.read.parquet(path)
+    assert set(read.inputFiles()) < set(input_names(read)) and input_names(read) != input_names(read.where("row_id > 0"))
+
+
 def test_rows_are_numbered_densely(spark):
     rows = spark.range(1000).selectExpr("1000 - id AS a", "id % 3 AS b")
     got = number_rows(rows, ["b", "a"]).orderBy("b", "a").collect()
