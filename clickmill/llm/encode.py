@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words remembered per generation; two generations are held. Longer words are not remembered.
-REMEMBERED, LONGEST = 300_000, 48
+#: Words and pieces remembered per generation; two generations are held. Longer ones are not remembered.
+WORDS, PIECES, LONGEST = 450_000, 50_000, 48
 _TWO_BLANKS = re.compile(r" \s|\s ")
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-#: Characters whose class (letter, not number or sign) no Unicode version has changed.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
+#: Pieces made of characters whose class (letter, digit, sign, line end) no Unicode version has changed, without apostrophes
+#: and without two blanks in a row, and the words that byte-level patterns cut them into.
+_COMMON = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ſ0-9!-&(-/:-@\[-`{-~]|(?<=[^\s])\n(?=[^\s]))+")
+_WORDS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -27,16 +29,16 @@ def byte_alphabet() -> dict[int, str]:
 class Memory(dict):
     """Remembers results of ``make``; when full, the older half of what was seen is forgotten."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, room: int) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.room, self.older = make, room, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.room:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -46,9 +48,9 @@ class Memory(dict):
 class Encoder:
     """``encode(text)``: the ids of a whole text as little-endian bytes, equal to ``Tokenizer.encode`` of it.
 
-    Byte-level BPE works on words that its pattern cuts out, and a single space between two other characters always
-    starts a new word. So texts are cut there, and each piece is encoded once and remembered. Pieces of one run of
-    common letters (and one comma or full stop) go to the BPE model itself, all others through the whole tokenizer.
+    Byte-level BPE works on words that its pattern cuts out. A text of common characters only is cut by ``_WORDS``, which
+    agrees with the pattern there, and each word is encoded once by the BPE model and remembered. Any other text is cut at its
+    single spaces, each of which starts a new word, and the pieces are done in the same way or by the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,37 +58,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.alphabet = {b: c for b, c in byte_alphabet().items()}
-        self.words = Memory(self._word)
-        self.pieces = Memory(self._piece)
+        self.alphabet = byte_alphabet()
+        self.words = Memory(self._word, WORDS)
+        self.pieces = Memory(self._piece, PIECES)
 
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.kind == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        """One run of letters, with the space before it if any."""
-        mapped = "".join(map(self.alphabet.__getitem__, word.encode()))
+        """One word of the pattern, with the space before it if any."""
+        mapped = word.encode().decode("latin-1").translate(self.alphabet)
         return self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
 
     def _piece(self, piece: str) -> bytes:
-        body = piece[1:] if piece[:1] == " " else piece
-        end = body[-1:] if body[-1:] in ".," else ""
-        body = body[: len(body) - len(end)]
-        if _LETTERS.fullmatch(body):
-            return self.words[piece[: len(piece) - len(end)]] + (self.words[end] if end else b"")
+        if _COMMON.fullmatch(piece):
+            return b"".join(map(self.words.__getitem__, _WORDS.findall(piece)))
         return self.whole(piece)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.plain or (self.special and self.special.search(text)):
+        if not self.plain or any(s in text for s in self.special):
             return self.whole(text)
+        words = _WORDS.findall(text)
+        if "\n\n" not in text and sum(map(len, words)) == len(text):
+            return b"".join(map(self.words.__getitem__, words))
         parts = _SINGLE_BLANK.split(text) if _TWO_BLANKS.search(text) else text.split(" ")
         first = self.pieces[parts[0]] if parts[0] else b""
         return first + b"".join(map(self.pieces.__getitem__, [" " + p for p in parts[1:]]))
