@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: rare n-gram seeds find places, Smith-Waterman alignment scores them."""
+"""Benchmark passages in documents: dense rare words find places, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-#: Words of a seed, share of an item's seeds that are used (its rarest ones), least number of them.
-SEED, RAREST, LEAST_SEEDS = 3, 0.5, 8
+#: Fewest words of an item that is looked for.
+SEED = 3
+#: Share of an item's words, its rarest ones, by which places are found; must exceed 1 - LEAST_SCORE * MATCH / STEP.
+RAREST = 0.75
 #: Scores of an equal word, another word, and a word that only one side has.
 MATCH, OTHER, GAP = 2, -1, -1
+#: What an equal word is worth more than any other word of the text.
+LOSS = -max(OTHER, GAP)
+STEP = MATCH + LOSS
 #: Share of the best possible score of an item from which a passage counts, and the fewest equal words of it.
 LEAST_SCORE, LEAST_EQUAL = 0.5, 8
+#: Words of stretches that wait to be aligned, and of those that are aligned together.
+WAITING, CELLS = 1 << 20, 1 << 14
 #: Items that are searched for in one pass over the documents.
 ITEMS_AT_ONCE = 20_000
 
@@ -30,22 +37,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def seeds_of(words: np.ndarray, size: int, base: int) -> np.ndarray:
-    """A number per window of ``size`` words that all occur in the benchmark, else -1. ``base`` exceeds all numbers;
-    windows are numbered exactly as long as ``base ** size`` fits, beyond that by a 64-bit hash."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    code, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(size):
-        part = words[k : k + n]
-        code = code * np.uint64(base) + part.astype(np.uint64)
-        known &= part > 0
-    return np.where(known, (code >> np.uint64(1)).astype(np.int64) if base**size >= 1 << 63 else code.astype(np.int64), -1)
-
-
 class Searcher:
-    """The items of one block: their words as numbers, and seeds with the places where items have them."""
+    """The items of one block: their words as numbers, and for each word the items that are found by it."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.numbers: dict[str, int] = {}  # any other word counts as 0
@@ -57,104 +50,161 @@ class Searcher:
                     self.numbers[w] = len(self.numbers) + 1
             self.ids.append(item_id)
             self.words.append(np.array([self.numbers[w] for w in words], np.int64))
-        self.base = len(self.numbers) + 1
-        found = [(int(s), i, p) for i, w in enumerate(self.words) if len(w) for p, s in enumerate(seeds_of(w, SEED, self.base))]
-        found.sort()
-        self.seeds = np.array([s for s, _, _ in found], np.int64)
-        self.items = np.array([i for _, i, _ in found], np.int64)
-        self.places = np.array([p for _, _, p in found], np.int64)
-        self.used = np.ones(len(found), bool)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.keep_rarest(np.zeros(len(self.numbers) + 1, np.int64))
 
     def numbered(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         return np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
 
-    def keep_rarest(self, frequency: dict[int, int]) -> None:
-        """Use the rarest seeds of each item: a fixed share, so that every item keeps some however common it is."""
-        often = np.array([frequency.get(int(s), 0) for s in self.seeds], np.int64)
-        order = np.lexsort((self.places, often, self.items))
-        count = np.bincount(self.items, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
-        keep = np.maximum(LEAST_SEEDS, np.ceil(RAREST * count)).astype(np.int64)
-        self.used[order] = rank < np.repeat(keep, count)
-
-    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document place, item, item place) of every used seed that the document has."""
-        seeds = seeds_of(numbers, SEED, self.base)
-        at = np.flatnonzero(seeds >= 0)
-        if not len(at) or not len(self.seeds):
-            return (np.empty(0, np.int64),) * 3
-        low, high = np.searchsorted(self.seeds, seeds[at], "left"), np.searchsorted(self.seeds, seeds[at], "right")
-        count = high - low
+    def keep_rarest(self, frequency: np.ndarray) -> None:
+        """Find each item by its rarest words, a fixed share; ``frequency`` has a number per word.
+
+        Of an item of ``n`` words, a passage of ``w`` words that counts has some ``m`` equal words, and ``MATCH * m - LOSS *
+        (w - m)`` is at least the least score. Of any ``r`` words of the item at least ``r - (n - m)`` are among the equal ones,
+        so ``STEP`` times the words of the passage that are among those ``r``, less ``LOSS * w``, is at least ``need``: the
+        least score less ``STEP * (n - r)``. That holds for every choice, also for words that no document has.
+        """
+        least = np.ceil(LEAST_SCORE * MATCH * self.lengths).astype(np.int64)
+        kept = np.ceil(RAREST * self.lengths).astype(np.int64)
+        self.need = least - STEP * (self.lengths - kept)
+        #: the passage has at most ``m + (MATCH * m - least) / LOSS`` words, and m is at most the item's length
+        self.reach = self.lengths + (MATCH * self.lengths - least) // LOSS
+        found = [np.unique(w[np.argsort(frequency[w], kind="stable")[:r]]) for w, r in zip(self.words, kept, strict=True)]
+        words = np.concatenate([*found, np.empty(0, np.int64)])
+        items = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        order = np.argsort(words, kind="stable")
+        self.items = items[order]
+        self.count = np.bincount(words, minlength=len(self.numbers) + 1)
+        self.first = np.cumsum(self.count) - self.count
+
+    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, document place) of every word by which an item is found, in this order."""
+        at = np.flatnonzero(self.count[numbers])
+        count = self.count[numbers[at]]
         place = np.repeat(at, count)
-        entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        use = self.used[entry]
-        return place[use], self.items[entry[use]], self.places[entry[use]]
+        entry = np.repeat(self.first[numbers[at]], count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        item = self.items[entry]
+        order = np.argsort(item, kind="stable")
+        return item[order], place[order]
 
     def windows(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, begin, end): stretches of a document that may hold a copy of an item.
+        """(item, begin, end): stretches of a document that hold every passage of it that counts.
 
-        A hit says where the item would begin if nothing were put in or left out. Hits of one item whose
-        beginnings are within half its length of the next go together; the stretch is wider by that half on either side.
+        The running total of a hit's worth less the words passed, above its lowest value so far, is the most that any
+        stretch up to a hit has. Where it reaches the item's ``need``, a passage may have its last hit.
         """
-        place, item, there = self.hits(numbers)
-        if not len(place):
+        item, place = self.hits(numbers)
+        if not len(item):
+            return []
+        total = STEP * np.arange(len(item)) - LOSS * place
+        apart = item * (STEP * len(item) + LOSS * len(numbers) + 1)
+        most = total - (np.minimum.accumulate(total - apart) + apart) + STEP - LOSS
+        ends = most >= self.need[item]
+        item, place = item[ends], place[ends]
+        if not len(item):
             return []
-        start = place - there
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        slack = np.array([len(w) // 2 + SEED for w in self.words])[item]
+        reach = self.reach[item]
         new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
+        new[1:] = (item[1:] != item[:-1]) | (place[1:] - place[:-1] >= 2 * reach[1:])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(item)) - 1
-        return [
-            (int(item[a]), max(0, int(start[a] - slack[a])), min(len(numbers), int(start[b] + len(self.words[item[a]]) + slack[a])))
-            for a, b in zip(first, last, strict=True)
-        ]
+        return [(int(item[a]), max(0, int(place[a] - reach[a]) + 1), min(len(numbers), int(place[b] + reach[a]))) for a, b in zip(first, last, strict=True)]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman: best local score, number of equal words on its path, begin and end of it in ``text``.
+    """Smith-Waterman: best local score, number of equal words on its path, begin and end of it in ``text``."""
+    return align_all(item, [text])[0]
+
+
+def align_all(item: np.ndarray, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """:func:`align` of each text, all at once.
 
     One row per word of the item. Within a row the gaps from the left are a running maximum, so a row is a few array
     operations. A cell is one integer: score in the high bits, then begin of the path, then equal words, so the larger
     integer is the better path, and of equal scores the shorter one.
     """
-    n = len(text)
+    text = side_by_side(texts)
+    n = text.shape[1]
     if not n or not len(item):
-        return 0, 0, 0, 0
+        return [(0, 0, 0, 0)] * len(texts)
     if n >= 1 << 20 or len(item) >= 1 << 20:
         raise ValueError("passages of a million words are too long to align")
     point = 1 << 40
-    place = np.arange(n + 1, dtype=np.int64)
-    fresh = place << 20
-    row, best = fresh, (0, 0, 0, 0)
+    place, each = np.arange(n + 1, dtype=np.int64), np.arange(len(texts))
+    fresh, gaps = place << 20, GAP * point * place
+    row = np.tile(fresh, (len(texts), 1))
+    best, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for word in item:
-        new = fresh.copy()
-        new[1:] = np.maximum(new[1:], row[:-1] + np.where(text == word, MATCH * point + 1, OTHER * point))
-        new = np.maximum(new, row + GAP * point)
-        row = np.maximum.accumulate(new - GAP * point * place) + GAP * point * place
-        k = int((row >> 40).argmax())
-        cell = int(row[k])
-        if cell >> 40 > best[0]:
-            best = cell >> 40, cell & ((1 << 20) - 1), cell >> 20 & ((1 << 20) - 1), k
-    return best
-
-
-def scored(searcher: Searcher, text: str | None) -> dict[int, tuple[float, int, int, int]]:
-    """Best alignment of each item that the whole text seems to hold: item -> (score, equal words, begin, end)."""
-    numbers = searcher.numbered(text)
-    out: dict[int, tuple[float, int, int, int]] = {}
-    for item, begin, end in searcher.windows(numbers):
-        words = searcher.words[item]
-        score, equal, a, b = align(words, numbers[begin:end])
-        got = (score / (MATCH * len(words)), equal, begin + a, begin + b)
-        if got[0] >= LEAST_SCORE and equal >= min(LEAST_EQUAL, len(words)) and (item not in out or got > out[item]):
-            out[item] = got
+        new = np.maximum(row + GAP * point, fresh)
+        np.maximum(new[:, 1:], row[:, :-1] + np.where(text == word, MATCH * point + 1, OTHER * point), out=new[:, 1:])
+        new -= gaps
+        row = np.maximum.accumulate(new, axis=1, out=new)
+        row += gaps
+        k = (row >> 40).argmax(axis=1)
+        cell = row[each, k]
+        better = (cell >> 40) > (best >> 40)
+        best, end = np.where(better, cell, best), np.where(better, k, end)
+    low = (1 << 20) - 1
+    return list(zip((best >> 40).tolist(), (best & low).tolist(), (best >> 20 & low).tolist(), end.tolist(), strict=True))
+
+
+def side_by_side(texts: list[np.ndarray]) -> np.ndarray:
+    """One row per text, filled up with a word that no item has."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), -1, np.int64)
+    for row, text in zip(out, texts, strict=True):
+        row[: len(text)] = text
+    return out
+
+
+def may_count(item: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Whether the words of each text that ``item`` has, in any order, are dense enough for the least score."""
+    text = side_by_side(texts)
+    known = np.zeros(max(int(text.max(initial=0)), int(item.max())) + 2, bool)  # the last one is for -1
+    known[item] = True
+    total = np.zeros((len(texts), text.shape[1] + 1), np.int64)
+    np.cumsum(np.where(known[text], MATCH, -LOSS), axis=1, out=total[:, 1:])
+    return (total - np.minimum.accumulate(total, axis=1)).max(axis=1) >= LEAST_SCORE * MATCH * len(item)
+
+
+#: Item -> (score, equal words, begin, end) of its best passage in a text.
+Found = dict[int, tuple[float, int, int, int]]
+
+
+def scored(searcher: Searcher, text: str | None) -> Found:
+    """Best alignment of each item that the text holds."""
+    return scored_all(searcher, [text])[0]
+
+
+def scored_all(searcher: Searcher, texts: list[str | None]) -> list[Found]:
+    """:func:`scored` of each text. Stretches wait until there are many, and those for one item are aligned together."""
+    out: list[Found] = [{} for _ in texts]
+    waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    size = 0
+    for k, text in enumerate(texts):
+        numbers = searcher.numbered(text)
+        for item, begin, end in searcher.windows(numbers):
+            waiting.setdefault(item, []).append((k, begin, numbers[begin:end].copy()))
+            size += end - begin
+        if size > WAITING or k == len(texts) - 1:
+            for item, stretches in waiting.items():
+                add_best(out, item, searcher.words[item], stretches)
+            waiting, size = {}, 0
     return out
 
 
+def add_best(out: list[Found], item: int, words: np.ndarray, stretches: list[tuple[int, int, np.ndarray]]) -> None:
+    stretches.sort(key=lambda s: len(s[2]))
+    while stretches:
+        part = stretches[-max(1, CELLS // len(stretches[-1][2])) :]
+        del stretches[-len(part) :]
+        part = [s for s, may in zip(part, may_count(words, [s[2] for s in part]), strict=True) if may]
+        for (k, begin, _), (score, equal, a, b) in zip(part, align_all(words, [s[2] for s in part]), strict=True):
+            got = (score / (MATCH * len(words)), equal, begin + a, begin + b)
+            if got[0] >= LEAST_SCORE and equal >= min(LEAST_EQUAL, len(words)) and (item not in out[k] or got > out[k][item]):
+                out[k][item] = got
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most ``size``, in order of their ids; items of fewer words than a seed are left out."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
@@ -181,8 +231,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     reported; without documents or items there are no rows. Other columns are not looked at.
 
     The benchmark is a stated query set and is taken in blocks of ``items_at_once`` items, which bounds what is sent to the
-    tasks. Per block, one pass counts in how many documents each seed occurs and a second one looks for the rarest
-    seeds of each item and aligns around them, so whole texts are read twice and never moved.
+    tasks. Per block, one pass counts how often each word occurs and a second one aligns each item wherever its rarest
+    words are as dense as any passage that counts makes them, so none is missed; whole texts are read twice and never moved.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -191,30 +241,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out: DataFrame = spark.createDataFrame([], kind)
     for block in item_blocks(benchmark, item_col, item_text_col, items_at_once):
         searcher = Searcher(block)
-        if len(searcher.seeds):
-            searcher.keep_rarest(seed_frequencies(source, searcher))
+        if len(searcher.ids):
+            searcher.keep_rarest(word_frequencies(source, searcher))
         out = out.unionByName(found_in(source, searcher, kind))
     return out
 
 
-def seed_frequencies(source: DataFrame, searcher: Searcher) -> dict[int, int]:
-    """Number of documents with each seed of a block: at most one number per seed of the block reaches the driver."""
+def word_frequencies(source: DataFrame, searcher: Searcher) -> np.ndarray:
+    """How often the documents have each word of a block: at most one number per word of the block reaches the driver."""
     shared = source.sparkSession.sparkContext.broadcast(searcher)
+    size = len(searcher.numbers) + 1
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        unique = np.unique(s.seeds)
-        counts = np.zeros(len(unique), np.int64)
+        counts = np.zeros(size, np.int64)
         for part in parts:
-            for text in part.column(0).to_pylist():
-                got = np.unique(seeds_of(s.numbered(text), SEED, s.base))
-                at = np.searchsorted(unique, got).clip(max=len(unique) - 1)
-                counts[at[unique[at] == got]] += 1
-        some = counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array(unique[some]), pa.array(counts[some])], names=["seed", "documents"])
-
-    rows = source.select("text").mapInArrow(count, "seed bigint, documents bigint").groupBy("seed").agg(F.sum("documents").alias("documents")).collect()
-    return {r.seed: r.documents for r in rows}
+            numbers = [s.numbered(text) for text in part.column(0).to_pylist()]
+            counts += np.bincount(np.concatenate([*numbers, np.empty(0, np.int64)]), minlength=size)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "times"])
+
+    rows = source.select("text").mapInArrow(count, "word bigint, times bigint").groupBy("word").agg(F.sum("times").alias("times")).collect()
+    out = np.zeros(size, np.int64)
+    for r in rows:
+        out[r.word] = r.times
+    return out
 
 
 def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
@@ -224,8 +275,8 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
         s = shared.value
         for part in parts:
             rows, items, got = [], [], []
-            for k, text in enumerate(part.column(1).to_pylist()):
-                for item, values in scored(s, text).items():
+            for k, found in enumerate(scored_all(s, part.column(1).to_pylist())):
+                for item, values in found.items():
                     rows.append(k)
                     items.append(s.ids[item])
                     got.append(values)

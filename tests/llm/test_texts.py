@@ -80,6 +80,45 @@ def test_contamination_against_aligning_everything(spark):
     assert C.contaminated(empty_docs(spark), bench).collect() == [] == C.contaminated(frame, bench.limit(0)).collect()
 
 
+def test_scattered_edits_against_aligning_everything(spark):
+    """Copies with 15 to 30 % changed words, while some items are also there unchanged: none is missed."""
+    rng = random.Random(3)
+    items = [(k, words(rng, rng.randrange(15, 60), 2000)) for k in range(30)]
+    items.append((30, " ".join(f"q{k}" for k in range(30))))
+    texts = [t for _, t in items[:30:4]] + [" ".join(f"changed{k}" if k % 5 == 2 else f"q{k}" for k in range(30))]
+    for k in range(120):
+        w = items[k % 30][1].split()
+        step = 100 / (15, 20, 25, 30)[k // 30]
+        for n in range(int(len(w) / step)):
+            w[int(n * step + rng.random())] = f"x{rng.randrange(10**6)}" if k % 2 else f"w{rng.randrange(2000)}"
+        if k % 5 == 0:
+            w = [y for x in w for y in ((x, "put") if rng.random() < 0.2 else (x,))]
+        texts.append(" ".join((words(rng, rng.randrange(1, 80), 2000), *w, words(rng, 20, 2000))))
+    want = {}
+    for doc_id, text in enumerate(texts):
+        for item_id, passage in items:
+            numbers = {x: i + 1 for i, x in enumerate(dict.fromkeys(passage.split()))}
+            score, equal, *_ = C.align(np.array([numbers[x] for x in passage.split()]), np.array([numbers.get(x, 0) for x in text.split()], int))
+            share = score / (C.MATCH * len(passage.split()))
+            if share >= C.LEAST_SCORE and equal >= C.LEAST_EQUAL:
+                want[doc_id, item_id] = share
+    got = C.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want
+    assert len(want) >= 100
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 5), min_size=3, max_size=12), min_size=1, max_size=4), st.lists(st.integers(1, 7), max_size=60))
+def test_no_alignment_is_missed(items, text):
+    searcher = C.Searcher([(k, " ".join(f"w{x}" for x in item)) for k, item in enumerate(items)])
+    searcher.keep_rarest(np.arange(len(searcher.numbers) + 1))
+    got = C.scored(searcher, " ".join(f"w{x}" for x in text))
+    for i, item in enumerate(searcher.words):
+        score, equal, *_ = C.align(item, searcher.numbered(" ".join(f"w{x}" for x in text)))
+        want = score >= C.LEAST_SCORE * C.MATCH * len(item) and equal >= min(C.LEAST_EQUAL, len(item))
+        assert (i in got) == want and (not want or got[i][0] * C.MATCH * len(item) == score)
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
