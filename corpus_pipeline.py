@@ -19,8 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with nearly the same word triples, the one with the smallest id stays."""
-    return keep_one_per_group(docs)
+    """Of each group of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, directly or
+    through others, the one with the smallest id stays."""
+    return keep_one_per_group(docs, width=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

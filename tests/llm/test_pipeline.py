@@ -60,6 +60,28 @@ def test_stages_take_effect(spark, corpus):
     assert sorted(collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, folder).collect())) == sorted(set(mixed))
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    """Copies with scattered edits, or with text added or cut, on both sides of the rule."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):
+        w = words(rng, 200, 5000).split()
+        copy = list(w)
+        if k % 4 == 0:
+            copy += words(rng, rng.randrange(20, 70), 5000).split()
+        elif k % 4 == 1:
+            copy = copy[: rng.randrange(140, 185)]
+        else:
+            for at in range(10, 200, rng.choice((30, 50, 60, 90))):
+                copy[at] = "edited"
+        texts += [" ".join(w), " ".join(copy)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want, narrow = ([k for k, root in enumerate(linked_groups(texts, percent, width)[0]) if root == k] for percent, width in ((80, 5), (90, 3)))
+    got = sorted(r.doc_id for r in corpus_pipeline.remove_near_copies(spark, docs, "").collect())
+    assert got == want
+    assert 45 <= len(want) < len(narrow) - 5 and len(want) < 75
+
+
 def test_every_dealt_operator_is_registered():
     assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 11))
     assert len(QUERIES) == 10 and [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "decontamination", "mixing", "token_files"]
