@@ -27,13 +27,15 @@ def digest(text: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """Array of ``(level, line)``: level 0 is the writer's own text, level n what stands behind n marks."""
+    """Array of ``(level, line)``: level 0 is the writer's own text, level n what stands behind n marks, and level -1 a line of
+    any level that announces a quote."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
 
     def one(line: Column) -> Column:
         marks = F.regexp_extract(line, MARKS, 1)
         level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
-        return F.struct(level.alias("level"), F.when(level > 0, F.regexp_extract(line, MARKS, 2)).otherwise(line).alias("line"))
+        text = F.when(level > 0, F.regexp_extract(line, MARKS, 2)).otherwise(line)
+        return F.struct(F.when(text.rlike(ANNOUNCES), F.lit(-1)).otherwise(level).alias("level"), text.alias("line"))
 
     return F.transform(lines, one)
 
@@ -53,26 +55,51 @@ def passages_of(lines: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``own`` text, ``levels`` and quoted ``passages`` of each message."""
+    """``own`` text, its ``stretches`` between quotes, ``levels`` and quoted ``passages`` of each message."""
     text = F.col("text")
     quoted = text.rlike(r"(?m)^[ \t]*>")
-    lines = messages.withColumn("lines", F.when(quoted, lines_of(text)))
-    own = F.array_join(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & ~x["line"].rlike(ANNOUNCES)), lambda x: x["line"]), "\n")
-    passages = F.filter(passages_of(F.col("lines")), lambda p: p["level"] > 0)
+    cut = messages.withColumn("lines", F.when(quoted | text.rlike("(?m)" + ANNOUNCES), lines_of(text)))
+    cut = cut.withColumn("parts", passages_of(F.col("lines")))
+    own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
+    passages = F.filter("parts", lambda p: p["level"] > 0)
     none = F.array().cast("array<struct<level:int,text:string>>")
-    return lines.select(
+    return cut.select(
         "row", "conv_id", "turn", "role",
         F.when(quoted, F.trim(F.regexp_replace(own, r"\n{3,}", "\n\n"))).otherwise(text).alias("own"),
+        F.coalesce(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"]), F.array(text)).alias("stretches"),
         F.when(quoted, passages).otherwise(none).alias("passages"),
     )
 
 
-def units(text: Column) -> Column:
-    """Digests under which a text can be found: the whole, its paragraphs and its lines."""
-    parts = F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, r"\n"))
+def pieces(text: Column) -> Column:
+    """Paragraphs and lines of a text, each alone and with the next one."""
+
+    def with_next(parts: Column) -> Column:
+        filled = F.filter(parts, lambda p: normalised(p) != "")
+        pairs = F.zip_with(filled, F.slice(filled, 2, F.greatest(F.size(filled), F.lit(1))), lambda a, b: F.concat(a, F.lit("\n"), b))
+        return F.concat(filled, F.filter(pairs, lambda p: p.isNotNull()))
+
+    return F.concat(with_next(F.split(text, r"\n[ \t]*\n")), with_next(F.split(text, r"\n")))
+
+
+def units(own: Column, stretches: Column) -> Column:
+    """Digests under which a text can be found: the whole, its stretches between quotes and their pieces."""
+    parts = F.concat(F.array(own), stretches, F.flatten(F.transform(stretches, pieces)))
     return F.filter(F.array_distinct(F.transform(parts, lambda p: digest(normalised(p)))), lambda d: d.isNotNull())
 
 
+def asked_units(text: Column) -> Column:
+    """Array of ``(digest, size, whole)``: a passage and its pieces."""
+
+    def one(p: Column, whole: bool) -> Column:
+        plain = normalised(p)
+        return F.struct(digest(plain).alias("digest"), F.length(plain).alias("size"), F.lit(whole).alias("whole"))
+
+    parts = F.array_distinct(F.transform(pieces(text), lambda p: one(p, False)))
+    whole = one(text, True)
+    return F.filter(F.concat(F.array(whole), F.filter(parts, lambda p: p["digest"] != whole["digest"])), lambda p: p["digest"].isNotNull())
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message, in reply order, without the quotes.
 
@@ -80,8 +107,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ``quote_level`` (deepest level), ``linked`` (passages whose original was found), ``parent_conv`` and ``parent_turn`` (the
     message replied to), ``root_turn``, ``depth`` and ``position`` (place in the conversation, from 0).
 
-    A passage is the neighbouring lines of one level. Its original is the first message that has the same normalised passage as
-    its own text, paragraph or line: in the same conversation before the quoting turn, else the first one in all conversations.
+    A passage is the neighbouring lines of one level, without those that announce a quote. Its original is the first message
+    that has the same normalised passage as its own text, a stretch of it between quotes, one or two paragraphs or lines: in the
+    same conversation before the quoting turn, else the first one in all conversations. If there is none, each paragraph and line
+    of the passage, alone and with the next one, names its first message by the same rule, and of these the original is the one
+    that has most characters of such pieces, in the same conversation if equal.
     A message replies to the original of its outermost, then longest, linked passage; without one it starts a thread. Threads
     follow each other by the turn that starts them, replies in order of their turns.
 
@@ -94,12 +124,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     place = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("at"), F.col("row"))
 
     quoted = rows.select("row", "conv_id", place.alias("place"), F.posexplode("passages").alias("nr", "p"))
-    quoted = quoted.withColumn("plain", normalised(F.col("p.text"))).withColumn("digest", digest(F.col("plain"))).where("digest is not null")
-    quoted = table(quoted.select("row", "conv_id", "place", "nr", F.col("p.level").alias("level"), F.length("plain").alias("size"), "digest"), "quoted")
+    quoted = quoted.withColumn("length", F.length(normalised(F.col("p.text")))).withColumn("unit", F.explode(asked_units(F.col("p.text"))))
+    quoted = table(quoted.select("row", "conv_id", "place", "nr", F.col("p.level").alias("level"), "length", "unit.*"), "quoted")
 
     # only passages that somebody quotes can be originals of anything
     asked = quoted.select("digest").distinct()
-    said = rows.select("row", "conv_id", place.alias("place"), F.explode(units(F.col("own"))).alias("digest"))
+    said = rows.select("row", "conv_id", place.alias("place"), F.explode(units(F.col("own"), F.col("stretches"))).alias("digest"))
     said = table(said.join(asked, "digest", "left_semi"), "said")
     conv = F.xxhash64("digest", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("conv_id").isNull())
     near = said.withColumn("near", conv).groupBy("near").agg(F.min("place").alias("near_place"))
@@ -109,8 +139,9 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     met = join_unique(met, far, "digest")
     elsewhere = ~F.col("far.conv_id").eqNullSafe(F.col("conv_id"))
     within = F.when(F.col("near_place").isNotNull(), F.struct("conv_id", F.col("near_place").alias("place")))
-    met = met.withColumn("original", F.coalesce(within, F.when(elsewhere, F.col("far"))))
-    best = F.min(F.when(F.col("original").isNotNull(), F.struct("level", (-F.col("size")).alias("shorter"), "nr", F.col("original.conv_id").alias("conv_id"), F.col("original.place").alias("place"))))
+    met = table(met.withColumn("original", F.coalesce(within, F.when(elsewhere, F.col("far")))).drop("far", "near", "near_place"), "met")
+    met = original_of_pieces(met, said)
+    best = F.min(F.when(F.col("original").isNotNull(), F.struct("level", (-F.col("length")).alias("shorter"), "nr", F.col("original.conv_id").alias("conv_id"), F.col("original.place").alias("place"))))
     replies = met.groupBy("row").agg(best.alias("best"), F.count("original").alias("linked"))
 
     facts = rows.select("row", "conv_id", "turn", "role", "own", F.size("passages").alias("quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).alias("quote_level"))
@@ -129,6 +160,21 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
 
 
+def original_of_pieces(met: DataFrame, said: DataFrame) -> DataFrame:
+    """One row per passage with its ``original``: that of the whole passage, else of the named messages the one with most of it."""
+    whole = met.where("whole and original is not null").select("row", "nr", "level", "length", "original")
+    rest = met.where("not whole").join(whole.select("row", "nr"), ["row", "nr"], "left_anti")
+    named = rest.where("original is not null").select("row", "nr", "original").distinct()
+    asked = rest.where("original is not null").join(named.withColumnRenamed("original", "named"), ["row", "nr"])
+    asked = asked.withColumn("held", F.xxhash64("named.place.row", "digest"))
+    holds = said.select(F.xxhash64("row", "digest").alias("held"), F.lit(True).alias("has")).distinct()
+    inside = F.col("named.conv_id").eqNullSafe(F.col("conv_id"))
+    sums = join_unique(asked, holds, "held").where("has").groupBy("row", "nr", "level", "length", "named").agg(F.sum("size").alias("shared"), F.max(inside).alias("inside"))
+    most = F.min(F.struct((-F.col("shared")).alias("less"), (~F.col("inside")).alias("outside"), F.col("named.conv_id").alias("conv_id"), F.col("named.place").alias("place")))
+    best = sums.groupBy("row", "nr", "level", "length").agg(most.alias("best"))
+    return whole.unionByName(best.select("row", "nr", "level", "length", F.struct(F.col("best.conv_id").alias("conv_id"), F.col("best.place").alias("place")).alias("original")))
+
+
 def thread_roots(parents: DataFrame) -> DataFrame:
     """``(row, root, depth)`` from ``(row, parent)``: every round follows twice as many steps as the one before.
 

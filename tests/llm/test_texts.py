@@ -192,6 +192,32 @@ def test_quotation_links(spark):
     assert quotes.link_quotes(frame.limit(0)).collect() == []
 
 
+def test_quotes_of_parts_and_of_interleaved_replies(spark):
+    p1, p2, p3 = "The first paragraph speaks of apples.", "The second one is all about pears.", "And the third one praises the plums."
+    rows = [
+        (1, 0, "user", f"{p1}\n\n{p2}\n\n{p3}"),
+        (1, 1, "user", f"> {p1}\n>\n> {p2}\nTwo of three, as I read them."),
+        (1, 2, "user", f"> {p1}\n>\n> {p3}\n>\n> words that nobody has written\nFirst and last."),
+        (1, 3, "user", f"> Two of three, as I read them.\n>\n> On Mon A wrote:\n>> {p1}\n>>\n>> {p2}\nTop-posted answer."),
+        (2, 0, "user", "line one of a long paragraph\nline two of a long paragraph\nline three of a long paragraph\nline four of a long paragraph"),
+        (2, 1, "user", "> line one of a long paragraph\nMy answer to the first line.\nIt has two lines.\n> line three of a long paragraph\nMy answer to the third line."),
+        (2, 2, "user", ">> line one of a long paragraph\n> My answer to the first line. It has\n> two lines.\nYes, that is so."),
+        (2, 3, "user", "> line two of a long paragraph\n> line three of a long paragraph\n> line four of a long paragraph\nThree of four lines."),
+        (3, 0, "user", "Hello to everybody here"),
+        (3, 1, "user", "Hello to everybody here\n\nWe meet on Friday at noon.\n\nBring some cake with you."),
+        (3, 2, "user", "> Hello to everybody here\n>\n> Bring some cake with you.\nI will."),
+        (3, 3, "user", "As she said\nJane wrote:\nthis remains the text of mine"),
+        (3, 4, "user", "> As she said\n> Jane wrote:\n> this remains the text of mine\nIndeed."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)).collect()}
+    parents = {k: r.parent_turn for k, r in got.items()}
+    assert [parents[1, k] for k in range(4)] == [None, 0, 0, 1]
+    assert [parents[2, k] for k in range(4)] == [None, 0, 1, 0]
+    assert [parents[3, k] for k in range(5)] == [None, None, 1, None, 3]
+    assert (got[1, 3].depth, got[1, 3].linked, got[1, 3].quotes) == (2, 2, 2)
+    assert got[3, 3].text == rows[11][3]
+
+
 def test_long_chain_and_common_message(spark):
     rows = [(7, k, "user", (f"> message number {k - 1} in a long chain\n" if k else "") + f"message number {k} in a long chain") for k in range(40)]
     rows += [(c, 0, "user", "the very same first turn for everybody") for c in range(100, 160)] + [(c, 1, "user", "> The very same first turn for everybody\nanswer") for c in range(100, 160)]
