@@ -12,7 +12,7 @@ from .totals import running_totals
 #: A line of a quote: one or more ``>``, each with blanks around it. A line that announces a quote is not the writer's text.
 MARKS = r"^((?:[ \t]*>)+)[ \t]?(.*)$"
 ANNOUNCES = r"(?i)^[ \t]*(?:on\b.{0,200}\bwrote:|.{0,200}\bwrote:|-+ ?original message ?-+)[ \t]*$"
-#: Fewest characters of a normalised passage that may link by itself.
+#: Fewest normalised characters of a passage that may link to another conversation, and of a piece that may link in place of its passage.
 LEAST = 12
 
 
@@ -22,8 +22,8 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def digest(text: Column) -> Column:
-    return F.when(F.length(text) >= LEAST, F.unhex(F.md5(text)))
+def digest(text: Column, least: int = 1) -> Column:
+    return F.when(F.length(text) >= least, F.unhex(F.md5(text)))
 
 
 def lines_of(text: Column) -> Column:
@@ -93,7 +93,7 @@ def asked_units(text: Column) -> Column:
 
     def one(p: Column, whole: bool) -> Column:
         plain = normalised(p)
-        return F.struct(digest(plain).alias("digest"), F.length(plain).alias("size"), F.lit(whole).alias("whole"))
+        return F.struct(digest(plain, 1 if whole else LEAST).alias("digest"), F.length(plain).alias("size"), F.lit(whole).alias("whole"))
 
     parts = F.array_distinct(F.transform(pieces(text), lambda p: one(p, False)))
     whole = one(text, True)
@@ -109,8 +109,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     A passage is the neighbouring lines of one level, without those that announce a quote. Its original is the first message
     that has the same normalised passage as its own text, a stretch of it between quotes, one or two paragraphs or lines: in the
-    same conversation before the quoting turn, else the first one in all conversations. If there is none, each paragraph and line
-    of the passage, alone and with the next one, names its first message by the same rule, and of these the original is the one
+    same conversation before the quoting turn, else, from ``LEAST`` characters on, the first one in all other conversations. If there is none, each paragraph and line
+    of ``LEAST`` characters, alone and with the next one, names its first message by the same rule, and of these the original is the one
     that has most characters of such pieces, in the same conversation if equal.
     A message replies to the original of its outermost, then longest, linked passage; without one it starts a thread. Threads
     follow each other by the turn that starts them, replies in order of their turns.
@@ -133,13 +133,16 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     said = table(said.join(asked, "digest", "left_semi"), "said")
     conv = F.xxhash64("digest", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("conv_id").isNull())
     near = said.withColumn("near", conv).groupBy("near").agg(F.min("place").alias("near_place"))
-    far = said.groupBy("digest").agg(F.min(F.struct(F.col("conv_id"), F.col("place"))).alias("far"))
+    firsts = table(said.groupBy("digest", "conv_id").agg(F.min("place").alias("place")), "firsts")
+    far = firsts.groupBy("digest").agg(F.min(F.struct("conv_id", "place")).alias("far"))
+    other = F.when(~F.col("far.conv_id").eqNullSafe(F.col("conv_id")), F.struct("conv_id", "place"))
+    far = join_unique(firsts, table(far, "far"), "digest").groupBy("digest").agg(F.min("far").alias("far"), F.min(other).alias("next"))
     met = join_unique(quoted.withColumn("near", conv), near, "near")
     met = met.withColumn("near_place", F.when(F.col("near_place") < F.col("place"), F.col("near_place")))
     met = join_unique(met, far, "digest")
-    elsewhere = ~F.col("far.conv_id").eqNullSafe(F.col("conv_id"))
+    elsewhere = F.when(F.col("size") >= LEAST, F.when(F.col("far.conv_id").eqNullSafe(F.col("conv_id")), F.col("next")).otherwise(F.col("far")))
     within = F.when(F.col("near_place").isNotNull(), F.struct("conv_id", F.col("near_place").alias("place")))
-    met = table(met.withColumn("original", F.coalesce(within, F.when(elsewhere, F.col("far")))).drop("far", "near", "near_place"), "met")
+    met = table(met.withColumn("original", F.coalesce(within, elsewhere)).drop("far", "next", "near", "near_place"), "met")
     met = original_of_pieces(met, said)
     best = F.min(F.when(F.col("original").isNotNull(), F.struct("level", (-F.col("length")).alias("shorter"), "nr", F.col("original.conv_id").alias("conv_id"), F.col("original.place").alias("place"))))
     replies = met.groupBy("row").agg(best.alias("best"), F.count("original").alias("linked"))
@@ -152,7 +155,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     named = join_unique(joined.join(threads, "row"), starts, "root")
     group = named.withColumn("conv", F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("conv_id").isNull()))
     ranked = running_totals(group, ["conv"], ["root_turn", "root", "turn", "row"], F.lit(1), "position")
-    discard(said, quoted)
+    discard(said, quoted, firsts)
     return ranked.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), F.col("quotes").cast("bigint").alias("quotes"), F.col("quote_level").cast("bigint").alias("quote_level"), F.coalesce("linked", F.lit(0)).alias("linked"),
         F.col("best.conv_id").alias("parent_conv"), F.when(F.col("best").isNotNull(), F.when(F.col("best.place.at") > -(1 << 62), F.col("best.place.at"))).alias("parent_turn"),

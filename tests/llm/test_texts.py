@@ -218,6 +218,25 @@ def test_quotes_of_parts_and_of_interleaved_replies(spark):
     assert got[3, 3].text == rows[11][3]
 
 
+def test_short_quotes_and_originals_in_other_conversations(spark):
+    rows = [
+        (1, 0, "user", "Shall we meet at nine?"),
+        (1, 1, "assistant", "Sounds good!"),
+        (1, 2, "user", "> Sounds good!\nThen until nine."),
+        (1, 3, "user", "> 好的\nNobody said so before."),
+        (1, 4, "user", "好的"),
+        (1, 5, "user", "> 好的\nNow somebody did."),
+        (2, 0, "user", "> Sounds good!\nToo short to come from elsewhere."),
+        (2, 1, "user", "> a sentence that is said again later\nQuoted before it is said here."),
+        (2, 2, "user", "a sentence that is said again later"),
+        (3, 0, "user", "a sentence that is said again later"),
+        (4, 0, "user", "> a sentence that is said again later\nThe first of all."),
+    ]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)).collect()
+    parents = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in got if r.parent_conv is not None}
+    assert parents == {(1, 2): (1, 1), (1, 5): (1, 4), (2, 1): (3, 0), (4, 0): (2, 2)}
+
+
 def test_long_chain_and_common_message(spark):
     rows = [(7, k, "user", (f"> message number {k - 1} in a long chain\n" if k else "") + f"message number {k} in a long chain") for k in range(40)]
     rows += [(c, 0, "user", "the very same first turn for everybody") for c in range(100, 160)] + [(c, 1, "user", "> The very same first turn for everybody\nanswer") for c in range(100, 160)]
