@@ -25,7 +25,9 @@ STEP = MATCH + LOSS
 #: Share of the best possible score of an item from which a passage counts, and the fewest equal words of it.
 LEAST_SCORE, LEAST_EQUAL = 0.5, 8
 #: Words of stretches that wait to be aligned, and of those that are aligned together.
-WAITING, CELLS = 1 << 20, 1 << 14
+WAITING, CELLS = 1 << 18, 1 << 14
+#: Texts that are taken apart together.
+ROWS = 1024
 #: Items that are searched for in one pass over the documents.
 ITEMS_AT_ONCE = 20_000
 
@@ -247,6 +249,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
+def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few texts are in memory as words at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
+
+
 def word_frequencies(source: DataFrame, searcher: Searcher) -> np.ndarray:
     """How often the documents have each word of a block: at most one number per word of the block reaches the driver."""
     shared = source.sparkSession.sparkContext.broadcast(searcher)
@@ -255,7 +264,7 @@ def word_frequencies(source: DataFrame, searcher: Searcher) -> np.ndarray:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         counts = np.zeros(size, np.int64)
-        for part in parts:
+        for part in short(parts):
             numbers = [s.numbered(text) for text in part.column(0).to_pylist()]
             counts += np.bincount(np.concatenate([*numbers, np.empty(0, np.int64)]), minlength=size)
         some = np.flatnonzero(counts)
@@ -273,7 +282,7 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for part in parts:
+        for part in short(parts):
             rows, items, got = [], [], []
             for k, found in enumerate(scored_all(s, part.column(1).to_pylist())):
                 for item, values in found.items():
