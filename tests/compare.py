@@ -23,6 +23,11 @@ def canonical(frame):
     return frame.sort_values(list(frame.columns), kind="stable").reset_index(drop=True)
 
 
+def whole(column):
+    """Whole numbers with nulls come as one type or another: as floats with NaN here."""
+    return column.astype("float64") if str(column.dtype) == "Int64" else column
+
+
 def difference(got, want):
     """None if both hold the same rows, else a short reason."""
     if sorted(got.columns) != sorted(want.columns):
@@ -31,7 +36,7 @@ def difference(got, want):
         return f"rows {len(got)} / {len(want)}"
     got, want = canonical(got), canonical(want)
     for name in got.columns:
-        a, b = got[name], want[name]
+        a, b = whole(got[name]), whole(want[name])
         if str(a.dtype) != str(b.dtype):
             return f"type of {name}: {a.dtype} / {b.dtype}"
         same = (a.to_numpy() == b.to_numpy()) | (a.isna() & b.isna()).to_numpy()
