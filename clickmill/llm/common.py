@@ -49,6 +49,27 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+_memories: list[dict] = []
+
+
+def one_memory(keep: dict) -> None:
+    """Called at the start of a task with what it remembers for later tasks of this worker: what tasks of other operators
+    remembered is given up, so a worker holds one operator's memory at a time. Works in the worker's process only."""
+    for other in [m for m in _memories if m is not keep]:
+        other.clear()
+    dropped = any(m is not keep for m in _memories)
+    _memories[:] = [keep]
+    if dropped:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def with_any_names(df: DataFrame, function) -> DataFrame:
     """``mapInArrow`` of a function that keeps the columns of ``df``, whatever their names."""
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
@@ -62,6 +83,17 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive rows whose ``sizes`` add up to ``most`` at most, or one row alone."""
+    out, begin, held = [], 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > begin and held + size > most:
+            out.append((begin, k))
+            begin, held = k, 0
+        held += size
+    return [*out, (begin, len(sizes))] if len(sizes) else out
+
+
 def runs(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, pa.Array]]]:
     """Rows that come sorted by whole-number ``keys``, gathered per value of them."""
     held: list[pa.RecordBatch] = []
