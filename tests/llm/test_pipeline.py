@@ -44,7 +44,7 @@ def test_stages_take_effect(spark, corpus):
     named, distinct, clean, mixed = ids[1:]
     assert {100, 101}.isdisjoint(named) and len(named) >= 0.9 * len(rows)
     named = sorted(named)
-    roots, _ = linked_groups([text[i] for i in named])
+    roots, _ = linked_groups([text[i] for i in named], percent=80, width=5)
     assert sorted(distinct) == [i for k, i in enumerate(named) if roots[k] == k]
     with_item = {i for i in distinct if any(t in text[i] for _, t in items)}
     assert with_item and with_item.isdisjoint(clean) and set(distinct) - with_item == set(clean)
@@ -83,6 +83,6 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
 
 
 def test_every_dealt_operator_is_registered():
-    assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 11))
-    assert len(QUERIES) == 10 and [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "decontamination", "mixing", "token_files"]
+    assert sorted({int(name[2:].split("_")[0]) for name in QUERIES}) == list(range(1, 14))
+    assert len(QUERIES) == 13 and [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "decontamination", "mixing", "token_files"]
     assert contamination.SEED and tokenizer_file().endswith(".json")
