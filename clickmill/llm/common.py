@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from clickmill.session import scratch_path
 
 
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Let the Python workers of this session import the package from where the driver has it.
 
@@ -24,6 +31,9 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if home not in paths:
         env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    # Batches of documents are held by the JVM and by the worker, for each task at a time.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,22 +62,18 @@ def discard(*tables: DataFrame) -> None:
 _memories: list[dict] = []
 
 
-def one_memory(keep: dict) -> None:
-    """Called at the start of a task with what it remembers for later tasks of this worker: what tasks of other operators
-    remembered is given up, so a worker holds one operator's memory at a time. Works in the worker's process only."""
-    for other in [m for m in _memories if m is not keep]:
+def one_memory(keep: dict | None = None) -> None:
+    """Called at the start of a task with what it remembers for later tasks of this worker, if anything: what tasks of other
+    operators remembered is given up, so a worker holds one operator's memory at a time."""
+    others = [m for m in _memories if m is not keep]
+    _memories[:] = [] if keep is None else [keep]
+    for other in others:
         other.clear()
-    dropped = any(m is not keep for m in _memories)
-    _memories[:] = [keep]
-    if dropped:
-        import ctypes
-        import gc
-
+    pa.default_memory_pool().release_unused()
+    if others:
         gc.collect()
-        try:
+        with contextlib.suppress(AttributeError, OSError):  # another C library has no such call
             ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
 
 
 def with_any_names(df: DataFrame, function) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import one_memory, ship, table
 
 #: Fewest words of an item that is looked for.
 SEED = 3
@@ -262,6 +262,7 @@ def word_frequencies(source: DataFrame, searcher: Searcher) -> np.ndarray:
     size = len(searcher.numbers) + 1
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory()
         s = shared.value
         counts = np.zeros(size, np.int64)
         for part in short(parts):
@@ -271,6 +272,7 @@ def word_frequencies(source: DataFrame, searcher: Searcher) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "times"])
 
     rows = source.select("text").mapInArrow(count, "word bigint, times bigint").groupBy("word").agg(F.sum("times").alias("times")).collect()
+    shared.destroy()
     out = np.zeros(size, np.int64)
     for r in rows:
         out[r.word] = r.times
@@ -281,6 +283,7 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(searcher)
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory()
         s = shared.value
         for part in short(parts):
             rows, items, got = [], [], []

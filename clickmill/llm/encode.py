@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from .common import one_memory
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and pieces remembered per generation; two generations are held. Longer ones are not remembered.
@@ -138,7 +140,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, made once per worker."""
+    """The encoder of a file, made once per worker and given up when its tasks turn to another operator."""
+    one_memory(_encoders)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

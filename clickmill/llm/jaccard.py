@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import discard, runs, ship, table, utf8
+from .common import discard, one_memory, runs, ship, table, utf8
 from .components import components
 from .heavy import heavy_keys, join_unique
 
@@ -32,6 +32,7 @@ def shingle_frequencies(docs: DataFrame, text_col: str, width: int) -> np.ndarra
     """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory(S.seen_words)
         counts, held, size = np.zeros(BUCKETS, np.int64), [], 0
         for part in parts:
             for text in utf8(part.column(0)):
@@ -70,6 +71,7 @@ def describe(docs: DataFrame, frequencies, width: int, percent: int) -> DataFram
     """Per row of ``docs(row, doc_id, text)``: set size, digest of the set, rare-first prefix and histogram."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory(S.seen_words)
         often = frequencies.value
         for part in parts:
             sizes, digests, prefixes, counts = [], [], [], []
@@ -175,6 +177,7 @@ def links_in_families(docs: DataFrame, sets: DataFrame, families: DataFrame, wid
     texts = docs.join(short, docs["doc_id"].eqNullSafe(short["wanted"])).select("root", "row", "parts", "digest", "text")
 
     def load(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory(S.seen_words)
         for part in parts:
             got = [S.shingle_set(text, width) for text in utf8(part.column(4))]
             same = pa.array([S.set_digest(x) == d for x, d in zip(got, part.column(3).to_pylist(), strict=True)], pa.bool_())
@@ -221,7 +224,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frequencies = spark.sparkContext.broadcast(shingle_frequencies(source, "text", width))
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     described = table(describe(numbered, frequencies, width, percent), "sets")
-    frequencies.unpersist()
+    frequencies.destroy()
 
     sets = one_per_set(described)
     listed = table(lists(sets, percent), "lists")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, utf8, with_any_names
+from .common import one_memory, ship, utf8, with_any_names
 
 #: Bytes of a window, widths of the filters, filters per width, size of a byte's vector.
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 10, 8
@@ -139,11 +140,18 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
     return out
 
 
+def some_windows(text: bytes, size: int = WINDOW) -> bytes:
+    """``WINDOWS_EACH`` windows of a text, chosen by its checksum, one after the other."""
+    cut = cut_windows(text, size)
+    picked = np.random.default_rng(zlib.crc32(text)).choice(len(cut), min(WINDOWS_EACH, len(cut)), replace=False)
+    return cut[picked].tobytes()
+
+
 def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str, rows: int) -> list:
-    """About ``rows`` rows, the same number per label, chosen by a hash of the id.
+    """Some windows, and the label, of about ``rows`` rows, the same number per label, chosen by a hash of the id.
 
-    Labels are counted first; each row then decides by its own hash whether it is in, so nothing is moved but the
-    sample itself.
+    Labels are counted first; each row then decides by its own hash whether it is in, and its windows are cut where it is read,
+    so the driver gets at most ``2 * rows`` rows of a fixed size.
     """
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(rows).collect()}
@@ -153,13 +161,20 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, id_col: str,
     share = F.create_map(*(F.lit(v) for label, n in counts.items() for v in (label, min(1.0, each / n))))
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     picked = known.where(chance < share[F.col(label_col)]).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(id_col).cast("string").alias("id"))
-    return picked.orderBy(F.xxhash64("id"), "id", "text").limit(2 * rows).collect()
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            windows = pa.array([some_windows(t) for t in utf8(part.column(0))], pa.binary())
+            yield pa.RecordBatch.from_arrays([windows, part.column(1), part.column(2)], names=["windows", "label", "id"])
+
+    windows = picked.mapInArrow(cut, f"windows binary, label {known.schema[label_col].dataType.simpleString()}, id string")
+    return windows.orderBy(F.xxhash64("id"), "id", "windows").limit(2 * rows).collect()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE) -> Network:
     """Train on a bounded sample (``rows``, the documented bound) of the labelled rows of ``docs``."""
     got = labelled_sample(docs, text_col, label_col, id_col, rows)
-    return train([r.text.encode("utf-8", "replace") for r in got], [r.label for r in got])
+    return train([bytes(r.windows) for r in got], [r.label for r in got])
 
 
 def predict(texts: list[bytes | None], net: Network, tables: dict) -> tuple[list[str], list[float]]:
@@ -209,6 +224,7 @@ def add_language(docs: DataFrame, net: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory()
         model = shared.value
         tables = model.tables()
         for part in parts:
@@ -247,6 +263,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory()
         model = shared.value
         tables = model.tables()
         for part in parts:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 150_000
 #: Fewest and most hash ranges of a histogram.
 LEAST_PARTS, MOST_PARTS = 16, 1 << 14
 
@@ -21,7 +21,8 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
+#: The words that a worker has seen.
+seen_words = WordHashes()
 
 
 def _mix(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -38,7 +39,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(seen_words.__getitem__, words), np.uint64, len(words))
     span = min(width, len(words))
     n = len(words) - span + 1
     mixed = np.full(n, span, np.uint64)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clickmill.session import scratch_path
 
-from .common import runs, ship, table
+from .common import one_memory, runs, ship, table
 from .encode import encoder
 from .hashindex import look_up, mix, pack
 
@@ -28,6 +28,8 @@ HEADER = "<8sII"
 END = 0
 #: Text bytes per shard, and the most shards; documents per index file.
 SHARD_BYTES, MOST_SHARDS, KEYS_PER_INDEX = 32 << 20, 20_000, 50_000
+#: Characters of a text by which rows that repeat an id are dealt to shards; those that agree in them share one.
+RANGE_CHARS = 16
 
 
 @dataclass
@@ -61,9 +63,9 @@ def key_hash(ids: pa.Array, nth: pa.Array) -> np.ndarray:
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> TokenFiles:
     """Encode every whole text, with one end id after each, into shards in ascending order of id, and index them.
 
-    Documents are dealt to shards by ranges of (id, text), so a shard is one sorted partition and holds a contiguous
-    part of the whole order; null ids come first, and rows that repeat an id are told apart by their order. A null text
-    is empty. Tasks stream into their file; the driver sees one row per shard.
+    Documents are dealt to shards by ranges of (id, beginning of the text), so a shard is one sorted partition and holds a contiguous
+    part of the whole order, and the driver, which finds the ranges, sees no whole text; null ids come first, and rows that repeat
+    an id are told apart by their order. A null text is empty. Tasks stream into their file; the driver sees one row per shard.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -106,7 +108,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
         else:
             there.delete_file(temporary)
 
-    dealt = source.repartitionByRange(n_shards, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = source.repartitionByRange(n_shards, "doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     local = table(dealt.mapInArrow(write, "doc_id bigint, nth bigint, shard int, offset bigint, length bigint"), "token-rows")
 
     found = local.groupBy("shard").agg(
@@ -127,6 +129,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
     entries = table(entries, "token-entries")
 
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory()
         there, base = filesystem(path)
         for (bucket,), rows in runs(parts, ["bucket"]):
             data = pack(key_hash(rows["doc_id"], rows["nth"]), *(rows[c].to_numpy(zero_copy_only=False) for c in ("shard", "offset", "length")))
@@ -171,6 +174,7 @@ def read_ids(files: TokenFiles, places: DataFrame, with_ids: bool = False) -> Da
     schema = "doc_id bigint, nth bigint, shard int, offset bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def load(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_memory()
         there, base = filesystem(path)
         opened, src, width = None, None, 2
         for part in parts:
