@@ -694,9 +694,9 @@ def _model_rows(spark, sf_dir):
     return table, *dataset.time_split(cut_lineage(bagged), "2024-01-20 16:00:00")
 
 
-def _model(spark, sf_dir, rounds=8):
+def _model(spark, sf_dir, rounds=8, patience=None):
     table, train, valid = _model_rows(spark, sf_dir)
-    return training.fit_with_validation(train, valid, DESIGN, MODEL_PARAMS, rounds, 0), table, train, valid
+    return training.fit_with_validation(train, valid, DESIGN, MODEL_PARAMS, rounds, 0, patience=patience), table, train, valid
 
 
 @query("e_gbt_scores_E")
@@ -734,6 +734,26 @@ def e_auc_history(spark, sf_dir):
     return training.auc_history(model, both)
 
 
+# Trees whose AUCs are checked.
+ROUNDS = 200
+
+
+@query("e_auc_rounds_E", over("E", f"""
++ steps AS (
+  SELECT row_id, label, is_train, iteration, sum((row_id * (7919 + iteration)) % 1001 - 500) OVER (PARTITION BY row_id ORDER BY iteration)::DOUBLE AS margin
+  FROM (SELECT row_id, is_attributed AS label, is_train FROM clicks), (SELECT unnest(range(1, {ROUNDS + 1})) AS iteration)),
+r AS (SELECT *, rank() OVER (PARTITION BY is_train, iteration ORDER BY margin)
+  + (count(*) OVER (PARTITION BY is_train, iteration, margin) - 1) / 2.0::DOUBLE AS rank FROM steps)
+SELECT is_train, iteration::INTEGER AS iteration, round((sum(CASE WHEN label = 1 THEN rank END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE)
+  / nullif(sum(label)::DOUBLE * sum(1 - label), 0), 9) AS auc FROM r GROUP BY is_train, iteration"""))
+def e_auc_rounds(spark, sf_dir):
+    """AUC after each of many trees whose outputs are given."""
+    log = event_clicks(spark, sf_dir)
+    outputs = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda k: (F.col("row_id") * (7919 + k) % 1001 - 500).cast("double"))
+    rows = log.select("row_id", "is_train", F.col("is_attributed").alias("label"), outputs.alias("outputs"))
+    return training.auc_per_round(rows, "outputs", ["is_train"]).withColumn("auc", F.round("auc", 9))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: future and previous click features by app and device."""
     log = event_clicks(spark, sf_dir)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
-import re
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickmill.operators import boosting
 from clickmill.operators.lookup import small_or_spread_lookup, with_chunk
 from clickmill.operators.ranks import exact_auc
 from clickmill.plans.registry import TARGET
@@ -23,9 +23,8 @@ FOLDS = 5
 # Rows of average behaviour that every category starts with.
 PRIOR_ROWS = 20.0
 DEEPEST = 30
-# Model parameters that the tree learner has a counterpart for, and those it has none for.
-KNOWN = {"max_depth", "num_leaves", "learning_rate", "max_bin", "min_child_samples", "min_data_in_leaf", "min_split_gain", "min_gain_to_split", "subsample", "bagging_fraction", "colsample_bytree", "feature_fraction"}
-WITHOUT_EFFECT = {"reg_lambda", "reg_alpha", "lambda_l1", "lambda_l2", "min_child_weight", "subsample_freq", "bagging_freq", "subsample_for_bin", "scale_pos_weight"}
+# Model parameters that the tree learner has no counterpart for.
+WITHOUT_EFFECT = {"subsample_for_bin"}
 
 
 @dataclass(frozen=True)
@@ -79,24 +78,12 @@ class Encoding:
 
 @dataclass
 class Booster:
-    """A fitted model of which the first ``rounds`` trees count."""
+    """Fitted trees of which the first ``rounds`` count; ``scores`` are their AUCs on the validation rows, if any."""
 
-    model: GBTClassificationModel
+    forest: boosting.Forest
     encoding: Encoding
     rounds: int
-
-    @property
-    def getNumTrees(self) -> int:  # noqa: N802 - the name that MLlib's models use
-        return self.rounds
-
-    def margin(self, rows: DataFrame) -> tuple[DataFrame, list[Column]]:
-        """Rows with one column per tree that counts, and the margin after 1, 2, ... trees."""
-        total, steps = F.lit(0.0), []
-        for i, (tree, weight) in enumerate(zip(self.model.trees[: self.rounds], self.model.treeWeights)):
-            rows = tree.setPredictionCol(f"_t{i}").transform(rows)
-            total = total + F.lit(float(weight)) * F.col(f"_t{i}")
-            steps.append(total)
-        return rows, steps
+    scores: list[float] = field(default_factory=list)
 
 
 def category(column: Column) -> Column:
@@ -118,26 +105,29 @@ def learn_encoding(rows: DataFrame, design: Design) -> Encoding:
     return Encoding(design, tables, share)
 
 
-def classifier(params: dict, rounds: int, seed: int) -> GBTClassifier:
-    """Model parameters by their usual names -> those of the tree learner; others are named in a warning."""
+def growth_of(params: dict, seed: int) -> boosting.Growth:
+    """Model parameters by their usual names -> how trees grow; those without a counterpart are named in a warning."""
     for name in sorted(set(params) & WITHOUT_EFFECT):
         warnings.warn(f"model parameter {name} has no counterpart and no effect", stacklevel=2)
-    depth = params.get("max_depth", -1)
-    if depth <= 0:
-        depth = math.ceil(math.log2(params.get("num_leaves", 31)))
-    if depth > DEEPEST:
-        raise ValueError(f"trees can be {DEEPEST} levels deep, not {depth}")
-    return GBTClassifier(
-        labelCol=TARGET,
-        featuresCol="features",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=params.get("learning_rate", 0.1),
-        maxBins=params.get("max_bin", 255),
-        minInstancesPerNode=max(params.get("min_child_samples", params.get("min_data_in_leaf", 20)), 1),
-        minInfoGain=float(params.get("min_split_gain", params.get("min_gain_to_split", 0.0))),
-        subsamplingRate=params.get("subsample", params.get("bagging_fraction", 1.0)),
-        featureSubsetStrategy=str(float(params.get("colsample_bytree", params.get("feature_fraction", 1.0)))),
+
+    def given(default, *names):
+        return next((params[name] for name in names if name in params), default)
+
+    # rows are drawn anew for trees only if a frequency is given, or left out together with it
+    share = given(1.0, "subsample", "bagging_fraction") if given(1, "subsample_freq", "bagging_freq") else 1.0
+    return boosting.Growth(
+        rate=given(0.1, "learning_rate"),
+        leaves=given(31, "num_leaves") if "num_leaves" in params or params.get("max_depth", -1) <= 0 else 1 << min(params["max_depth"], DEEPEST),
+        depth=max(params.get("max_depth", -1), 0),
+        min_rows=max(given(20, "min_child_samples", "min_data_in_leaf"), 1),
+        min_hessian=given(1e-3, "min_child_weight", "min_sum_hessian_in_leaf"),
+        min_gain=float(given(0.0, "min_split_gain", "min_gain_to_split")),
+        l1=float(given(0.0, "reg_alpha", "lambda_l1")),
+        l2=float(given(0.0, "reg_lambda", "lambda_l2")),
+        rows=share,
+        features=given(1.0, "colsample_bytree", "feature_fraction"),
+        bins=min(given(255, "max_bin"), boosting.BINS),
+        positive=float(given(1.0, "scale_pos_weight")),
         seed=seed,
     )
 
@@ -163,45 +153,70 @@ def fit_with_validation(
         raise ValueError(f"train and valid must both have the columns {missing}")
     if train.isEmpty() or valid.isEmpty():
         raise ValueError("the split left no rows to train or to validate on")
-    booster = fit_all(train, design, params, rounds, seed, weight)
-    history = auc_history(booster, valid.withColumn("set", F.lit("valid")))
-    auc = {r["iteration"]: r["auc"] for r in history.collect()}
-    scores = [auc.get(i + 1) if auc.get(i + 1) is not None else 0.0 for i in range(booster.rounds)]
-    return Booster(booster.model, booster.encoding, best_round(scores, patience))
+    encoding = learn_encoding(train, design)
+
+    def measure(steps: DataFrame) -> list[float]:
+        found = exact_auc(rounds_of(steps, "steps"), "margin", "label", ["iteration"])
+        return [r["auc"] or 0.0 for r in sorted(found.collect(), key=lambda r: r["iteration"])]
+
+    columns = ["row_id", TARGET, "features", *([weight] if weight else [])]
+    wide = cut_lineage(encoding.vectors(train, training=True).select(*columns))
+    checked = encoding.vectors(valid).select("row_id", TARGET, "features")
+    forest, scores = boosting.boost(wide, TARGET, len(design.columns), growth_of(params, seed), rounds, weight, checked, patience, measure=measure)
+    return Booster(forest, encoding, best_round(scores, patience), scores)
 
 
 def fit_all(rows: DataFrame, design: Design, params: dict, rounds: int, seed: int, weight: str | None = None) -> Booster:
-    learner = classifier(params, rounds, seed)
-    if weight:
-        learner = learner.setWeightCol(weight)
     encoding = learn_encoding(rows, design)
-    wide = encoding.vectors(rows, training=True).select(TARGET, "features", *([weight] if weight else []))
-    model = learner.fit(cut_lineage(wide))
-    return Booster(model, encoding, len(model.treeWeights))
+    wide = cut_lineage(encoding.vectors(rows, training=True).select("row_id", TARGET, "features", *([weight] if weight else [])))
+    forest, _ = boosting.boost(wide, TARGET, len(design.columns), growth_of(params, seed), rounds, weight)
+    return Booster(forest, encoding, len(forest.trees))
 
 
 def score(booster: Booster, rows: DataFrame) -> DataFrame:
     """Add ``prediction``, the probability of a positive label."""
-    margins, steps = booster.margin(booster.encoding.vectors(rows))
-    return margins.withColumn("prediction", 1 / (1 + F.exp(-2 * steps[-1]))).select(*rows.columns, "prediction")
+    margin = boosting.margin(booster.forest, booster.rounds, F.col("features"))
+    return booster.encoding.vectors(rows).withColumn("prediction", 1 / (1 + F.exp(-margin))).select(*rows.columns, "prediction")
+
+
+def rounds_of(rows: DataFrame, steps: str, *by: str) -> DataFrame:
+    """One row per row and round: ``iteration`` from 1, and ``margin`` from the array ``steps`` of all rounds' margins."""
+    kept = [*by, "label"]
+    return rows.select(*kept, F.posexplode(steps).alias("_at", "margin")).select(*kept, (F.col("_at") + 1).alias("iteration"), "margin")
+
+
+def running_margins(outputs: str, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``steps``: the running sums of the array ``outputs``, which has one number per tree."""
+
+    @F.pandas_udf("array<double>")
+    def sums(values: pd.Series) -> pd.Series:
+        return values.map(np.cumsum)
+
+    return rows.withColumn("steps", sums(F.col(outputs)))
+
+
+def auc_per_round(rows: DataFrame, outputs: str, by=("set",)) -> DataFrame:
+    """(by, iteration, auc) of the first 1, 2, ... trees, from ``label`` and the array ``outputs`` of what each tree adds."""
+    return exact_auc(rounds_of(running_margins(outputs, rows), "steps", *by), "margin", "label", [*by, "iteration"])
 
 
 def auc_history(booster: Booster, rows: DataFrame, by=("set",), only: int | None = None) -> DataFrame:
     """AUC of the first 1, 2, ... trees that count (or of the first ``only``) on each set: (by, iteration, auc)."""
-    margins, totals = booster.margin(booster.encoding.vectors(rows).select(*by, TARGET, "features"))
-    steps = [F.struct(F.lit(i + 1).alias("iteration"), t.alias("margin")) for i, t in enumerate(totals) if only in (None, i + 1)]
-    long = margins.select(*by, TARGET, F.explode(F.array(*steps)).alias("s")).select(*by, TARGET, "s.*")
-    return exact_auc(long, "margin", TARGET, [*by, "iteration"])
+    wide = booster.encoding.vectors(rows).select(*by, F.col(TARGET).alias("label"), "features")
+    if only is not None:
+        one = wide.withColumn("margin", boosting.margin(booster.forest, only, F.col("features"))).withColumn("iteration", F.lit(only))
+        return exact_auc(one, "margin", "label", [*by, "iteration"])
+    steps = wide.withColumn("steps", boosting.margins(booster.forest, booster.rounds, F.col("features")))
+    return exact_auc(rounds_of(steps, "steps", *by), "margin", "label", [*by, "iteration"])
 
 
 def feature_importance(booster: Booster, kind: str = "gain") -> dict[str, float]:
     """What each column adds to the trees that count, as shares: by ``gain``, or by the number of its cuts (``split``)."""
-    trees, columns = booster.model.trees[: booster.rounds], booster.encoding.design.columns
-    if kind == "split":
-        cuts = [int(k) for tree in trees for k in re.findall(r"If \(feature (\d+) ", tree.toDebugString)]
-        sums = [float(cuts.count(i)) for i in range(len(columns))]
-    else:
-        gains = [w * tree.featureImportances.toArray() for tree, w in zip(trees, booster.model.treeWeights)]
-        sums = [float(sum(g[i] for g in gains)) for i in range(len(columns))]
+    columns = booster.encoding.design.columns
+    sums = [0.0] * len(columns)
+    for tree in booster.forest.trees[: booster.rounds]:
+        for feature, gain in zip(tree.feature, tree.gain, strict=True):
+            if feature >= 0:
+                sums[feature] += gain if kind == "gain" else 1.0
     whole = sum(sums) or 1.0
-    return {name: value / whole for name, value in zip(columns, sums)}
+    return {name: value / whole for name, value in zip(columns, sums, strict=True)}

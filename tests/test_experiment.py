@@ -1,7 +1,9 @@
 import json
 import math
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from fixtures import DAY
 from pyspark.sql import functions as F
@@ -182,16 +184,84 @@ def test_small_learning_rates_keep_many_trees(spark):
     frame = spark.createDataFrame(rows, "row_id bigint, " + ", ".join(f"{n} double" for n in names) + ", ip int, is_attributed int, valid boolean")
     train, valid = frame.where("NOT valid"), frame.where("valid")
     design = training.Design((*names, "ip"), ("ip",))
-    params = {"learning_rate": 0.03, "max_depth": 2, "reg_lambda": 1.0}
-    with pytest.warns(UserWarning, match="reg_lambda"):
+    params = {"learning_rate": 0.03, "max_depth": 2, "reg_lambda": 1.0, "subsample_for_bin": 10}
+    with pytest.warns(UserWarning, match="subsample_for_bin"):
         model = training.fit_with_validation(train, valid, design, params, 15, 0, patience=10)
-    history = {r["iteration"]: r["auc"] for r in training.auc_history(training.Booster(model.model, model.encoding, 15), valid.withColumn("set", F.lit("v"))).collect()}
-    assert len(history) == 15 and history[model.rounds] == max(history.values()) and model.rounds > 5
+    history = {r["iteration"]: r["auc"] for r in training.auc_history(replace(model, rounds=len(model.forest.trees)), valid.withColumn("set", F.lit("v"))).collect()}
+    assert [history[i + 1] for i in range(len(history))] == pytest.approx(model.scores) and history[model.rounds] == max(history.values())
+    assert model.rounds > 5
     scores = {r.row_id: r.prediction for r in training.score(model, valid).collect()}
     assert len(scores) == 1000 and all(0 < s < 1 for s in scores.values())
     assert all(abs(sum(training.feature_importance(model, kind).values()) - 1) < 1e-9 for kind in ("gain", "split"))
-    with pytest.raises(ValueError, match="levels"):
-        training.classifier({"max_depth": 40}, 5, 0)
+
+
+def test_fit_stops_by_patience(spark):
+    """One feature says all there is to say, so later trees only learn noise."""
+    rng = random.Random(3)
+    rows = [(i, float(i % 2), rng.random(), int(rng.random() < (0.8 if i % 2 else 0.2)), i % 3 == 0) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "row_id bigint, a double, noise double, is_attributed int, valid boolean")
+    params = {"learning_rate": 0.5, "num_leaves": 8, "min_child_samples": 1}
+    model = training.fit_with_validation(frame.where("NOT valid"), frame.where("valid"), training.Design(("a", "noise")), params, 1000, 0, patience=6)
+    assert len(model.forest.trees) == len(model.scores) == model.rounds + 6
+    assert model.scores.index(max(model.scores)) == model.rounds - 1
+
+
+def plain_tree(x, g, h, leaves, min_rows):
+    """Level by level: every cut of every leaf is tried; the best ones come first while leaves are left."""
+    level, cuts, count = [list(range(len(x)))], [], 1
+    while level and count < leaves:
+        best = []
+        for rows in level:
+            G, H = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            options = []
+            for f in range(len(x[0])):
+                for v in sorted({x[i][f] for i in rows})[:-1]:
+                    left = [i for i in rows if x[i][f] <= v]
+                    if min(len(left), len(rows) - len(left)) >= min_rows:
+                        gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                        options.append((gl * gl / hl + (G - gl) ** 2 / (H - hl) - G * G / H, f, v, left, [i for i in rows if x[i][f] > v]))
+            if options:
+                best.append(max(options, key=lambda o: (round(o[0], 9), -o[1], -o[2])))
+        level = []
+        for gain, f, v, left, right in sorted(best, key=lambda o: -o[0])[: leaves - count]:
+            if gain > 0:
+                cuts.append((f, v, round(gain, 6)))
+                level += [left, right]
+                count += 1
+    return cuts
+
+
+def test_trees_are_those_of_a_plain_search(spark):
+    rng = random.Random(8)
+    x = [[rng.randrange(12), rng.randrange(5), rng.random()] for _ in range(300)]
+    y = [int(rng.random() < (0.8 if a > 6 and b < 2 or c > 0.8 else 0.2)) for a, b, c in x]
+    rows = [(i, float(a), float(b), c, y[i]) for i, (a, b, c) in enumerate(x)]
+    frame = spark.createDataFrame(rows, "row_id bigint, a double, b double, c double, is_attributed int").repartition(5)
+    params = {"learning_rate": 0.2, "num_leaves": 6, "min_child_samples": 10, "max_bin": 256, "min_child_weight": 0}
+    model = training.fit_all(frame, training.Design(("a", "b", "c")), params, 3, 0)
+    margin = [math.log(sum(y) / (300 - sum(y)))] * 300
+    edges = model.forest.edges
+    cut = [[float(edges[f][k]) if (k := int((edges[f] < v).sum())) < len(edges[f]) else math.inf for f, v in enumerate(r)] for r in x]
+    for tree in model.forest.trees:
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        want = plain_tree(cut, [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 6, 10)
+        got = [(f, float(edges[f][k]), round(gain, 6)) for f, k, gain in zip(tree.feature, tree.last, tree.gain) if f >= 0]
+        assert sorted(got) == sorted(want) and sum(f < 0 for f in tree.feature) == 6
+        bins = model.forest.binned(np.array(x, float))
+        margin = [m + o for m, o in zip(margin, tree.outputs(bins))]
+    scored = {r.row_id: r.prediction for r in training.score(model, frame).collect()}
+    assert all(math.isclose(scored[i], 1 / (1 + math.exp(-m)), rel_tol=1e-9) for i, m in enumerate(margin))
+
+
+def test_auc_of_many_rounds(spark):
+    rng = random.Random(1)
+    rows = [(s, int(rng.random() < 0.4), [float(rng.randrange(-3, 4)) for _ in range(30)]) for s in ("train", "valid") for _ in range(120)]
+    got = {(r["set"], r.iteration): r.auc for r in training.auc_per_round(spark.createDataFrame(rows, "set string, label int, outputs array<double>"), "outputs").collect()}
+    assert len(got) == 60
+    for (name, k), auc in got.items():
+        values = [(sum(o[:k]), label) for s, label, o in rows if s == name]
+        pos, neg = ([v for v, label in values if label == c] for c in (1, 0))
+        assert math.isclose(auc, sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
 
 
 def test_categories_count_without_their_own_fold(spark):
