@@ -48,6 +48,25 @@ def document_count(counts: DataFrame) -> int:
     return 0 if largest is None else largest + 1
 
 
+def stacked_cooccurrence(clicks: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """(m, doc, term, tf): :func:`cooccurrence` of the m-th pair of columns, for all pairs in one scan of the clicks."""
+    combos = clicks.groupBy(*keys).agg(F.count("*").alias("n"))
+    each = [F.struct(F.lit(m).alias("m"), F.col(doc).cast("bigint").alias("doc"), F.col(term).cast("bigint").alias("term")) for m, (doc, term) in enumerate(pairs)]
+    rows = combos.select("n", F.explode(F.array(*each)).alias("e"))
+    return rows.groupBy("e.m", "e.doc", "e.term").agg(F.sum("n").alias("tf"))
+
+
+def stacked_tfidf(counts: DataFrame, min_df: int, drop_single_digit: bool = False) -> DataFrame:
+    """(m, doc, term, weight): :func:`tfidf` of every matrix of ``counts``, each with its own vocabulary and number of documents."""
+    kept = counts.where(F.col("term") >= FIRST_WORD) if drop_single_digit else counts
+    words = kept.groupBy("m", "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    documents = F.broadcast(counts.groupBy("m").agg((F.max("doc") + 1).alias("documents")))  # one row per matrix
+    raw = counts.join(words, ["m", "term"]).join(documents, "m")
+    raw = raw.select("m", "doc", "term", (F.col("tf") * (F.log((1.0 + F.col("documents")) / (1 + F.col("df"))) + 1)).alias("_raw"))
+    norms = raw.groupBy("m", "doc").agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
+    return raw.join(norms, ["m", "doc"]).select("m", "doc", "term", (F.col("_raw") / F.col("_norm")).alias("weight"))
+
+
 def user_documents(clicks: DataFrame) -> DataFrame:
     """(ip, device, os, channel, app, tf) of the users with at least three clicks."""
     counts = clicks.groupBy(*USER, "app").agg(F.count("*").alias("tf"))

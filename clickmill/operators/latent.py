@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from clickmill.functions.keys import KEYS
 from clickmill.operators import documents as D
-from clickmill.operators.factors import nmf, top_directions, truncated_svd
+from clickmill.operators.factors import nmf, nmf_each, svd_each, top_directions, truncated_svd
 from clickmill.operators.lookup import CHUNK_ROWS, small_or_spread_lookup, with_chunk
 from clickmill.operators.topics import topic_mixtures
-from clickmill.session import cut_lineage
+from clickmill.session import cut_lineage, written
 
 # Fixed value: the order in which column pairs are listed.
 PAIR_ORDER = ("ip", "app", "os", "device", "channel")
@@ -94,6 +94,21 @@ def latent_table(
     return docs.join(found, "doc", "left").select("doc", F.coalesce("f", zero).alias("f"))
 
 
+def latent_tables(clicks: DataFrame, spec: LatentSpec, compat: bool = False) -> dict[tuple[str, str], DataFrame]:
+    """:func:`latent_table` of every pair of a configuration by SVD or NMF, all matrices factored together."""
+    counts = written(D.stacked_cooccurrence(clicks, list(spec.pairs), list(KEYS)), "counts")
+    weights = D.stacked_tfidf(counts, spec.min_df, compat)
+    factors = {"svd": svd_each, "nmf": nmf_each}[spec.method](weights, spec.width)
+    found = written(factors[0].withColumnRenamed("id", "doc"), "vectors")
+    zero = F.array_repeat(F.lit(0.0), spec.width)
+    out = {}
+    for m, pair in enumerate(spec.pairs):
+        docs = counts.where(F.col("m") == m).select("doc").distinct()
+        own = found.where(F.col("m") == m).select("doc", "f")
+        out[pair] = docs.join(own, "doc", "left").select(F.col("doc").cast(clicks.schema[pair[0]].dataType).alias("doc"), F.coalesce("f", zero).alias("f"))
+    return out
+
+
 def vector_columns(vector: Column, prefix: str, width: int) -> list[Column]:
     return [vector[i].cast("float").alias(f"{prefix}_{i}") for i in range(width)]
 
@@ -110,9 +125,12 @@ def add_latent_vectors(
     def fitted(pair):
         return latent_table(clicks, *pair, spec.method, spec.width, spec.min_df, compat, lda)
 
-    # The fits of the pairs are independent jobs; a few at a time keep the cluster busy.
-    with ThreadPoolExecutor(PAIRS_AT_ONCE) as pool:
-        tables = dict(zip(spec.pairs, pool.map(inheritable_thread_target(clicks.sparkSession)(fitted), spec.pairs)))
+    # Topics of the pairs are independent jobs, a few at a time; matrices are factored together.
+    if spec.method == "lda":
+        with ThreadPoolExecutor(PAIRS_AT_ONCE) as pool:
+            tables = dict(zip(spec.pairs, pool.map(inheritable_thread_target(clicks.sparkSession)(fitted), spec.pairs)))
+    else:
+        tables = latent_tables(clicks, spec, compat)
     names = []
     for column in dict.fromkeys(p[0] for p in spec.pairs):
         table = None

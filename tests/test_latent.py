@@ -3,7 +3,10 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from fixtures import SCHEMA, random_clicks
+from pyspark.sql import functions as F
 
+from clickmill.functions.keys import KEYS
+from clickmill.operators import documents as D
 from clickmill.operators import factors, latent, topics
 
 
@@ -51,6 +54,46 @@ def test_nmf_is_non_negative_and_its_error_falls(spark):
     assert np.isclose(errors[-1], ((dense - w_dense @ h_dense.T) ** 2).sum())
 
 
+def test_matrices_factored_together_are_as_if_alone(spark):
+    rng = np.random.default_rng(4)
+    shapes = [(14, 9), (40, 6), (3, 3)]
+    dense = [rng.integers(0, 4, shape).astype(float) for shape in shapes]
+    dense[2][:] = np.outer([1.0, 2.0, 3.0], [1.0, 0.0, 2.0])  # rank one
+    rows = [(m, i, j, float(v)) for m, x in enumerate(dense) for (i, j), v in np.ndenumerate(x) if v]
+    entries = spark.createDataFrame(rows, "m int, doc bigint, term bigint, weight double")
+    scores, directions, residuals = factors.svd_each(entries, 3)
+    assert max(residuals.values()) <= factors.SVD_RESIDUAL
+    w, h, errors = factors.nmf_each(entries, 3, iterations=60, share=1e-5)
+    for m, x in enumerate(dense):
+        left, right = np.zeros((len(x), 3)), np.zeros((x.shape[1], 3))
+        parts = {}
+        for name, table in (("scores", scores), ("directions", directions), ("w", w), ("h", h)):
+            out = (left if name in ("scores", "w") else right).copy()
+            for r in table.where(F.col("m") == m).collect():
+                out[r.id] = r.f
+            parts[name] = out
+        values = np.linalg.svd(x, compute_uv=False)
+        assert np.allclose(np.linalg.norm(parts["scores"], axis=0), values[:3], atol=1e-4 * values[0])
+        assert np.allclose(x @ parts["directions"], parts["scores"], atol=1e-8)
+        assert (parts["w"] >= 0).all() and (parts["h"] >= 0).all()
+        error = ((x - parts["w"] @ parts["h"].T) ** 2).sum()
+        assert np.isclose(error, errors[m][-1], atol=1e-6) and error <= (values[1:] ** 2).sum() + 1e-2 * (x**2).sum()
+    assert factors.nmf_each(entries.limit(0), 3)[2] == {} and factors.svd_each(entries.limit(0), 3)[0].count() == 0
+
+
+def test_stacked_weights_are_those_of_single_pairs(spark):
+    clicks, _ = wide_clicks(spark)
+    pairs = [("app", "channel"), ("ip", "os")]
+    stacked = D.stacked_tfidf(D.stacked_cooccurrence(clicks, pairs, list(KEYS)), 2)
+    got = {(r.m, r.doc, r.term): r.weight for r in stacked.collect()}
+    want = {}
+    for m, (doc, term) in enumerate(pairs):
+        counts = D.cooccurrence(clicks, doc, term)
+        for r in D.tfidf(D.document_terms(counts, 2), D.document_count(counts)).collect():
+            want[m, r.doc, r.term] = r.weight
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+
+
 def test_lda_shares_sum_to_one_and_are_repeatable(spark):
     clicks, _ = wide_clicks(spark)
     spec = latent.LatentSpec("T", "lda", 5, 2, (("app", "channel"), ("app", "device")))
