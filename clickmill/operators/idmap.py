@@ -12,13 +12,13 @@ MATCH = [*KEYS, "click_s"]
 
 
 def click_id_mapping(old_test: DataFrame, test: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(old_click_id, new_click_id): for each new id the last old click equal on keys and time.
+    """(old_click_id, new_click_id): for each new id the last old click equal on keys and time, in order of the old ids.
 
     Old clicks are reduced to their last one per key before the join, so copies never multiply.
     """
     last = old_test.groupBy(*MATCH).agg(F.max_by("click_id", "row_id").alias("old_click_id"))
     new = with_chunk(test, chunk_rows).select("chunk", *MATCH, F.col("click_id").alias("new_click_id"))
-    return spread_lookup(new, last, MATCH, "inner").select("old_click_id", "new_click_id")
+    return spread_lookup(new, last, MATCH, "inner").select("old_click_id", "new_click_id").orderBy("old_click_id", "new_click_id")
 
 
 def needed_clicks(test: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from clickmill.operators import latent
 from clickmill.operators.attribution import KINDS, add_median_attribute_time
 from clickmill.operators.basic import COUNTS, add_basic_counts
 from clickmill.operators.duplicates import add_duplicate_row_index_diff
+from clickmill.operators.factors import svd_each
 from clickmill.operators.idmap import click_id_mapping, mapped_predictions, needed_clicks
 from clickmill.operators.ranks import exact_auc
 from clickmill.operators.sampling import bag_rows, balanced_bags, fraction_sample
@@ -557,6 +558,27 @@ _latent("l_svd_E", "svd", (("ip", "app"), ("app", "ip")))
 _latent("l_nmf_E", "nmf", (("ip", "app"),))
 
 
+BOTH_WAYS = [("ip", "channel"), ("channel", "ip")]
+
+
+@query("l_svd_gram_E", over("E", """
++ c AS (SELECT 0 AS m, ip AS doc, channel AS term, count(*) AS tf FROM clicks GROUP BY ip, channel
+  UNION ALL SELECT 1, channel, ip, count(*) FROM clicks GROUP BY channel, ip),
+n AS (SELECT m, max(doc) + 1 AS n FROM c GROUP BY m), v AS (SELECT m, term, count(*) AS df FROM c GROUP BY m, term),
+raw AS (SELECT m, doc, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS r FROM c JOIN v USING (m, term) JOIN n USING (m)),
+x AS (SELECT m, doc, term, r / sqrt(sum(r * r) OVER (PARTITION BY m, doc)) AS w FROM raw),
+last AS (SELECT m, term, w AS other FROM x WHERE (m, doc) IN (SELECT (m, max(doc)) FROM x GROUP BY m))
+SELECT m::INTEGER AS m, doc::BIGINT AS doc, round(sum(w * coalesce(other, 0)), 5) + 0.0::DOUBLE AS dot FROM x LEFT JOIN last USING (m, term) GROUP BY m, doc"""))
+def l_svd_gram(spark, sf_dir):
+    """Scores at full rank have the dot products of the rows they stand for: each document with the last one of its matrix."""
+    weights = D.stacked_tfidf(D.stacked_cooccurrence(event_clicks(spark, sf_dir), BOTH_WAYS, list(KEYS)), 1)
+    scores, _, _ = svd_each(weights, 10)
+    scores = cut_lineage(scores)
+    last = scores.groupBy("m").agg(F.max_by("f", "id").alias("other"))  # one row per matrix
+    dot = F.aggregate(F.zip_with("f", "other", lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return scores.join(F.broadcast(last), "m").select("m", F.col("id").alias("doc"), (F.round(dot, 5) + F.lit(0.0)).alias("dot"))
+
+
 def _configured(name: str):
     def run(spark, sf_dir):
         rows = latent.add_latent_vectors(event_clicks(spark, sf_dir), latent.SPECS[name])

@@ -80,12 +80,12 @@ def _split_offsets(splits: DataFrame) -> DataFrame:
 
 
 def keep_after(supplement: DataFrame, train: DataFrame, column: str = "click_time") -> DataFrame:
-    """Rows of ``supplement`` at or after the last click of ``train``.
+    """Rows of ``supplement`` at or after the last click of ``train``; all of them if there is none.
 
     The last click is read first, so that the filter is a plain value the scan can skip by.
     """
     last = train.agg(F.max(column)).first()[0]
-    return supplement.where(F.col(column) >= F.lit(last))
+    return supplement if last is None else supplement.where(F.col(column) >= F.lit(last))
 
 
 def write_table(df: DataFrame, path: str, cluster_by: str | None = None) -> str:

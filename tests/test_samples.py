@@ -4,6 +4,7 @@ from fixtures import SCHEMA, random_clicks
 
 from clickmill.operators import sampling
 from clickmill.operators.idmap import click_id_mapping, mapped_predictions, needed_clicks
+from clickmill.sources.clicks import keep_after
 
 
 def place(seed):
@@ -42,7 +43,14 @@ def test_mapping_keeps_the_last_old_click(spark):
     schema = "click_id bigint, row_id bigint, ip int, app int, device int, os int, channel int, click_s bigint"
     old, new = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
     mapping = click_id_mapping(old, new, chunk_rows=2)
+    assert [r.old_click_id for r in mapping.collect()] == sorted(r.old_click_id for r in mapping.collect())
     assert sorted(map(tuple, mapping.collect())) == [(13, 72), (15, 70), (15, 71)]
     assert sorted(r.click_id for r in needed_clicks(old, mapping).collect()) == [13, 15]
     scores = spark.createDataFrame([(15, 0.5), (11, 0.25)], "click_id bigint, prediction double")
     assert sorted(map(tuple, mapped_predictions(mapping, scores).collect())) == [(70, 0.5), (71, 0.5)]
+
+
+def test_without_train_clicks_the_whole_supplement_stays(spark):
+    rows = spark.createDataFrame([(1, "2017-11-07 00:00:00"), (2, "2017-11-08 00:00:00")], "row_id bigint, click_time string")
+    assert keep_after(rows, rows.limit(0)).count() == 2
+    assert [r.row_id for r in keep_after(rows, rows.where("row_id = 2")).collect()] == [2]
