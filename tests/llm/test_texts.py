@@ -119,6 +119,48 @@ def test_no_alignment_is_missed(items, text):
         assert (i in got) == want and (not want or got[i][0] * C.MATCH * len(item) == score)
 
 
+def test_seeds_are_rare_ngrams_that_some_document_has(spark):
+    """Of an item's n-grams the rarest with a count above zero are seeds; the join finds exact copies by them alone."""
+    bench = [(1, " ".join(f"a{k}" for k in range(40))), (2, " ".join(f"b{k}" for k in range(40)))]
+    texts = [bench[0][1], "x " + " ".join(f"a{k}" for k in range(10, 40))] + [" ".join(f"a{k}" for k in range(20))] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    searcher = C.Searcher(bench)
+    words, grams = C.frequencies(docs.select("text"), searcher)
+    assert words[searcher.words[0]].tolist() == [6] * 10 + [7] * 10 + [2] * 20 and not words[searcher.words[1]].any()
+    searcher.keep_rarest(words)
+    searcher.keep_seeds(grams)
+    assert len(searcher.seeds) == C.SEEDS and (grams[searcher.seeds] == 2).all() and not searcher.seed_items.any()
+    numbers, first, seeded, unseeded = searcher.passages(texts)
+    assert set(seeded[:, 1].tolist()) == {0, 1}
+    assert {r.doc_id for r in C.contaminated(docs, spark.createDataFrame(bench, "item_id bigint, text string")).collect()} >= {0, 1}
+
+
+def test_words_by_array_are_words_by_pattern():
+    texts = ["Été àç 日本_x  a1 ß İ Σας\n", "", None, "x" * 300_000 + " a " + "b" * 200_000, "the of Zürich naïve x9 " * 40_000, "\U0001f600 _ \ud800 9"]
+    searcher = C.Searcher([(k, t) for k, t in enumerate(texts) if t])
+    numbers, first = searcher.numbered_all(texts)
+    for k, text in enumerate(texts):
+        words, got = C.words_of(text), numbers[first[k] : first[k + 1]].tolist()
+        assert got == searcher.numbered(text).tolist() and len(got) == len(words)
+        assert len(set(zip(words, got, strict=True))) == len(set(words)) == len(set(got))
+
+
+def test_very_long_texts_and_items(spark):
+    """A million words of one item again and again, a far away edited copy, and an item that is aligned in parts."""
+    rng = random.Random(8)
+    item = words(rng, 30, 5000)
+    w = item.split()
+    edited = " ".join("other" if k % 4 == 1 else x for k, x in enumerate(w))
+    long_item = words(rng, 2 * C.LONGEST + 100, 100_000)
+    docs = [(1, (item + " ") * 36_000), (2, words(rng, 200_000, 5000) + " " + edited + " " + words(rng, 50_000, 5000)), (3, "before " + " ".join(long_item.split()[: C.LONGEST])), (4, "b" * 3_000_000)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in C.contaminated(frame, spark.createDataFrame([(1, item), (2, long_item)], "item_id bigint, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+    assert got[1, 1].score == 1 and got[1, 1].equal_words == 30 and got[2, 1].score >= C.LEAST_SCORE
+    assert edited.split()[0] in " ".join(docs[1][1].split()[got[2, 1].begin : got[2, 1].end])
+    assert got[3, 2].score == 1
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
