@@ -72,11 +72,13 @@ def entropies(sources: DataFrame, total: int) -> tuple[float, float]:
     return math.log(max(1, got.n)), got.h or 0.0
 
 
-def mixture(tokens: DataFrame, budget: int | None = None, entropy: float | None = None, repeats: float | None = None) -> Mixture:
+def mixture(tokens: DataFrame, budget: int | None = None, entropy: float | None = None, repeats: float | None = None, most_passes: float | None = None) -> Mixture:
     """Weights of the sources of ``tokens(key, n_tokens)``.
 
-    Without a target, the entropy half-way between the shares' own and that of equal weights is aimed at. The budget is
-    by default the number of tokens there are.
+    Without a target, the entropy half-way between the shares' own and that of equal weights is aimed at. ``most_passes``
+    bounds the passes over any source on top of an entropy: where the target would repeat a source more often, the exponent
+    is raised until it does not, so a tiny source beside large ones cannot fill the budget with its copies. The budget
+    is by default the number of tokens there are.
     """
     sources = table(tokens.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -86,7 +88,10 @@ def mixture(tokens: DataFrame, budget: int | None = None, entropy: float | None
     if entropy is None and repeats is None:
         flat, own = entropies(sources, total)
         entropy = (flat + own) / 2
-    exponent = bisect(sources, total, budget, entropy, repeats) if sources.count() > 1 else 1.0
+    several = sources.count() > 1
+    exponent = bisect(sources, total, budget, entropy, repeats) if several else 1.0
+    if several and most_passes is not None and exponent < 1:
+        exponent = max(exponent, bisect(sources, total, budget, None, most_passes))
     w = F.pow(F.col("tokens") / float(total), F.lit(exponent))
     z = sources.agg(F.sum(w)).first()[0]
     weights = sources.withColumn("weight", w / z).withColumn("budget", F.round(F.col("weight") * budget).cast("bigint"))
@@ -98,7 +103,7 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), epoch.cast("string"), F.lit(str(seed))))
 
 
-def copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, budget: int | None, entropy: float | None, repeats: float | None) -> tuple[DataFrame, Mixture]:
+def copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, budget: int | None, entropy: float | None, repeats: float | None, most_passes: float | None) -> tuple[DataFrame, Mixture]:
     """Rows ``(doc_id, source, key, epoch, place, n_tokens, before, budget)`` of the chosen passes, and the mixture.
 
     A source's passes follow each other, each in a permutation of its own; those rows stay that begin within the budget.
@@ -108,7 +113,7 @@ def copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"), token_count(text).alias("n_tokens"), F.md5(F.coalesce(text, F.lit(""))).alias("content")
     )
     narrow = table(narrow, "mixed")
-    mix = mixture(narrow.select("key", "n_tokens"), budget, entropy, repeats)
+    mix = mixture(narrow.select("key", "n_tokens"), budget, entropy, repeats, most_passes)
     mix.weights = table(mix.weights, "weights")
     passes = join_unique(narrow, mix.weights.select("key", "tokens", "budget"), "key")
     last = F.greatest(F.ceil(F.col("budget") / F.col("tokens")) - 1, F.lit(0))
@@ -119,12 +124,14 @@ def copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, budget: int | None = None, entropy: float | None = None, repeats: float | None = None, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, budget: int | None = None, entropy: float | None = None, repeats: float | None = None, most_passes: float | None = None,
+    block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """The mixed corpus: one row per chosen copy of a document, with its block and its position there.
 
     Sources get weights in proportion to their token share to the power of an exponent that is found by bisection, for a
-    target ``entropy`` or a limit on ``repeats``. Each source's documents are taken in random order, pass after pass, until
+    target ``entropy`` or a limit on ``repeats``, and never with more than ``most_passes`` over a source, if given. Tokens are
+    words between blanks, not ids of a tokenizer. Each source's documents are taken in random order, pass after pass, until
     its part of the ``budget`` is reached, so a source is repeated or cut short; the last copy may reach beyond. All sources
     are then spread evenly over blocks of ``block_tokens`` tokens: every block holds them in the same weights, in a
     random order. Columns: ``doc_id``, ``source``, ``epoch``, ``n_tokens``, ``block``, ``position``.
@@ -133,7 +140,7 @@ def mix_sources(
     equal rows are chosen in turn; one source alone keeps its order of passes; an empty table gives no rows. Texts are
     read once; all else moves narrow rows, dealt by ranges, so that no source, however large, is one task's.
     """
-    chosen, mix = copies(docs, id_col, text_col, source_col, seed, budget, entropy, repeats)
+    chosen, mix = copies(docs, id_col, text_col, source_col, seed, budget, entropy, repeats, most_passes)
     blocks = max(1, -(-mix.budget // block_tokens))
     block = F.expr(f"least(cast(before as decimal(19, 0)) * cast({blocks} as decimal(12, 0)) div cast(budget as decimal(19, 0)), {blocks - 1})")
     rows = chosen.withColumn("block", block.cast("bigint")).withColumn("shuffled", F.md5(F.concat_ws("/", "place", F.col("epoch").cast("string"))))
@@ -141,13 +148,13 @@ def mix_sources(
     return ranked.select("doc_id", "source", "epoch", "n_tokens", "block", "position")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, budget: int | None = None, entropy: float | None = None, repeats: float | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, budget: int | None = None, entropy: float | None = None, repeats: float | None = None, most_passes: float | None = None) -> DataFrame:
     """The chosen copies as whole rows of ``docs``, as often as they were chosen; the same choice as :func:`mix_sources`.
 
     Per source only the last pass and the place at which it ends must be known, so texts are not moved. Rows that have the same
     id, and so the same place, are chosen together.
     """
-    chosen, _ = copies(docs, id_col, text_col, source_col, seed, budget, entropy, repeats)
+    chosen, _ = copies(docs, id_col, text_col, source_col, seed, budget, entropy, repeats, most_passes)
     ends = table(chosen.groupBy("key").agg(F.max(F.struct("epoch", "place")).alias("end")), "ends")
     names = [f"c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)

@@ -31,6 +31,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Passes over a source that mixing allows at most, whatever entropy it aims at.
+MOST_PASSES = 32
+
+
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(read(spark, sf_dir, "conversations"))
 
@@ -40,7 +44,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents"))
+    return mix_sources(read(spark, sf_dir, "documents"), most_passes=MOST_PASSES)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the tests look at: unbroken runs of the characters of common encodings.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: What the tests look at: unbroken runs of the characters of common encodings. A longer run is looked at in stretches of
+#: ``LONGEST`` characters, each tested by itself.
+LONGEST = 4096
+TOKEN = r"[A-Za-z0-9+/_-]{20,%d}={0,2}" % LONGEST
 LEAST_VALUE = 6
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -41,26 +43,70 @@ PROSE_AGREE, PROSE_CHANGE, PROSE_SERIAL = 0.066, 0.08, -0.3
 #: Below this probability under randomness a token is no random string; false discovery rate of what is added.
 LEAST_RANDOM, RATE = 1e-3, 0.01
 BINS, PER_DECADE = 3000, 100
+#: Matches whose places are added up one by one; the sums of such blocks are then added up in turn.
+BLOCK = 128
+
+
+def let(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function uses it."""
+    return F.transform(F.array(value), function)[0]
+
+
+def blocks_of(values: Column) -> Column:
+    """An array in arrays of ``BLOCK`` elements."""
+    count = F.greatest((F.size(values) + (BLOCK - 1)) / BLOCK, F.lit(0)).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def before_each(sizes: Column) -> Column:
+    """For an array of whole numbers, the sum of the ones before each, as an array of the same size."""
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")), lambda acc: acc["out"])
+
+
+def total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
 
 
 def placed(text: Column, pattern: str) -> Column:
     """Array of ``(start, end, value)`` of the leftmost non-overlapping matches, in code points.
 
-    The pieces between matches and the matches themselves take turns, so a running sum of lengths gives the places.
+    The pieces between matches and the matches themselves take turns, so running sums of lengths give the places. They are
+    taken within blocks of ``BLOCK`` matches and then over the blocks, since a sum that grows an array copies it
+    each time: a text with 100,000 matches takes about a second.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), found, lambda gap, value: F.struct(gap.alias("gap"), F.coalesce(F.length(value), F.lit(0)).alias("size"), value.alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def in_block(block: Column, offset: Column) -> Column:
+        steps = before_each(F.transform(block, lambda x: x["gap"] + x["size"]))
+        spans = F.zip_with(block, steps, lambda x, at: F.struct((offset + at + x["gap"]).alias("start"), (offset + at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))
+        return F.filter(spans, lambda x: x["value"].isNotNull())  # the last piece has no match after it
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def of_blocks(blocks: Column) -> Column:
+        offsets = before_each(F.transform(blocks, lambda block: total(F.transform(block, lambda x: x["gap"] + x["size"]))))
+        return F.flatten(F.zip_with(blocks, offsets, in_block))
+
+    return F.when(text.rlike(pattern), let(pairs, lambda p: let(blocks_of(p), of_blocks))).otherwise(empty)
+
+
+def number_below(sorted_values: Column, limit: Column) -> Column:
+    """How many of the sorted values are below the limit, by halving."""
+    halves = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    step = lambda low, half: F.when((half <= F.size(sorted_values) - low) & (F.get(sorted_values, low + half - 1) < limit), low + half).otherwise(low)
+    return F.aggregate(halves, F.lit(0), step)
+
+
+def apart_from(tokens: Column, spans: Column) -> Column:
+    """The tokens that meet none of ``spans``, which follow each other without overlap: of those that begin before the
+    token's end, all must have ended at its start."""
+
+    def search(starts: Column, ends: Column) -> Column:
+        return F.filter(tokens, lambda t: number_below(starts, t["end"]) == number_below(ends, t["start"] + 1))
+
+    return F.when(F.size(spans) == 0, tokens).otherwise(let(F.transform(spans, lambda s: s["start"]), lambda a: let(F.transform(spans, lambda s: s["end"]), lambda b: search(a, b))))
 
 
 def as_spans(found: Column, kind: str) -> Column:
@@ -98,8 +144,8 @@ def tested(tokens: Column) -> Column:
     a negative correlation of vowels; the three scores are added with equal weight.
     """
     alphabet = lambda body: F.coalesce(*(F.when(body.rlike(f"^{p}$"), F.lit(a)) for p, a in ALPHABETS), F.lit(ALL))
-    a = F.transform(tokens, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.rtrim(m["value"], F.lit("=")).alias("body")))
-    b = F.transform(a, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["body"].alias("body"), F.split(m["body"], "").alias("chars"), alphabet(m["body"]).alias("alphabet")))
+    bare = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.rtrim(m["value"], F.lit("=")).alias("body"))
+    spelled = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["body"].alias("body"), F.split(m["body"], "").alias("chars"), alphabet(m["body"]).alias("alphabet"))
 
     def numbers(m: Column) -> Column:
         body, chars = m["body"], m["chars"]
@@ -151,9 +197,13 @@ def tested(tokens: Column) -> Column:
         random_p = upper_tail((F.cbrt(squared / 3) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27)))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), n.alias("size"), upper_tail((t1 + t2 + t3) / F.sqrt(F.lit(3.0))).alias("text_p"), random_p.alias("random_p"))
 
-    for function in (numbers, sums, correlations, scores):
-        b = F.transform(b, function)
-    return b
+    def whole(m: Column) -> Column:
+        # one token after the other, so that the arrays of a single one are held at a time
+        for function in (bare, spelled, numbers, sums, correlations):
+            m = F.transform(m, function)
+        return F.transform(m, scores)[0]
+
+    return F.transform(tokens, lambda m: whole(F.array(m)))
 
 
 def grade(c: Column, mean_size: float) -> Column:
@@ -201,10 +251,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         as_spans(placed(F.col("text"), HEX), "hex").alias("hex"),
         placed(F.col("text"), TOKEN).alias("runs"),
     )
-    base = F.concat("assign", "access", "hex")
-    met = lambda t: F.exists(F.col("base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    matched = matched.withColumn("base", base)
-    matched = matched.select("doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]), "base", tested(F.filter("runs", lambda t: ~met(t))).alias("tokens"))
+    runs = F.col("runs")
+    for kind in KINDS[:3]:
+        matched = matched.withColumn("runs", apart_from(runs, F.col(kind)))
+    matched = matched.select(
+        "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]), F.concat("assign", "access", "hex").alias("base"), tested(F.col("runs")).alias("tokens")
+    )
     found = table(matched, "secrets")
     mean_size, least = least_bin(found, rate)
     random = F.filter("tokens", lambda c: (grade(c, mean_size) >= least) & (c["random_p"] >= LEAST_RANDOM))

@@ -197,6 +197,24 @@ def test_secrets_against_plain_patterns(spark):
     assert secretscan.find_secrets(empty_docs(spark)).collect() == []
 
 
+def test_secrets_in_texts_of_many_matches(spark):
+    """Text of 100,000 digests, of as many random tokens among them, and one unbroken blob: the places are those of the patterns."""
+    rng = random.Random(6)
+    hexes = [f"{rng.getrandbits(128):032x}" for _ in range(100_000)]
+    mixed = [x for k in range(3000) for x in (hexes[k], "secret = " + hexes[k][:12], hexes[k].upper() + "Zz")]
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(500_000))
+    texts = ["\n".join(hexes), " é ".join(mixed), blob, "x " * 100_000]
+    got = {r.doc_id: r for r in secretscan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for k, text in enumerate(texts):
+        joined = ",".join(f"{secretscan.KINDS[kind]}:{a}:{b}" for a, kind, b in plain_spans(text))
+        assert got[k].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert got[0].n_hex == 100_000 and got[0].n_random == got[3].n_random == 0
+    assert got[1].n_hex == 3000 and 0 < got[1].n_random <= 3000
+    bounds = [tuple(map(int, s.split(":")[1:])) for s in got[1].spans.split(",") if s.startswith("random")]
+    assert all(re.fullmatch("[0-9A-Z]{32}Zz", texts[1][a:b]) for a, b in bounds)
+    assert got[2].n_random >= 100
+
+
 def test_normal_tail(spark):
     z = [-6.0, -1.5, 0.0, 0.3, 2.0, 5.0]
     got = spark.createDataFrame([(x,) for x in z], "z double").select(secretscan.upper_tail(F.col("z"))).collect()
@@ -339,6 +357,18 @@ def test_mixing_reaches_its_targets(spark):
     assert strip(collections.Counter(r.doc_id for r in again.collect())) == strip(collections.Counter(r.doc_id for r in got))
 
 
+def test_mixing_with_a_tiny_source(spark):
+    """An entropy alone repeats a source of one token as often as its weight asks for; a limit of passes holds beside it."""
+    rows = [(k, words(random.Random(k), 99), "big") for k in range(200)] + [(500, "", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    free = mixing.mixture(docs.select(mixing.source_key(F.col("source")).alias("key"), mixing.token_count(F.col("text")).alias("n_tokens")))
+    assert max(r.budget / r.tokens for r in free.weights.collect()) > 100
+    got = collections.Counter(r.source for r in mixing.mix_sources(docs, most_passes=8).collect())
+    assert 7 <= got["tiny"] <= 8 and 199 <= got["big"] <= 200
+    again = collections.Counter(r.source for r in mixing.mix_documents(docs, most_passes=8).collect())
+    assert again == got
+
+
 def test_mixing_without_rows_or_with_one_source(spark):
     assert mixing.mix_sources(empty_docs(spark)).collect() == [] == mixing.mix_documents(empty_docs(spark)).collect()
     one = spark.createDataFrame([(k, "a b c", "only") for k in range(20)], "doc_id bigint, text string, source string")
