@@ -9,7 +9,7 @@ from clickmill.llm.contamination import drop_contaminated
 from clickmill.llm.jaccard import keep_one_per_group
 from clickmill.llm.language import keep_identified
 from clickmill.llm.mixing import mix_documents
-from clickmill.llm.queries import tokenizer_file
+from clickmill.llm.queries import MOST_PASSES, tokenizer_file
 from clickmill.llm.tokenfiles import token_index
 
 
@@ -30,8 +30,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are cut short or repeated so that their tokens come in the weights of the mixture."""
-    return mix_documents(docs)
+    """Sources are cut short or repeated so that their tokens come in the weights of the mixture, at most
+    ``MOST_PASSES`` times over."""
+    return mix_documents(docs, most_passes=MOST_PASSES)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
