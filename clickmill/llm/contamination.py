@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ LEAST_SCORE, LEAST_EQUAL = 0.5, 8
 #: Words of stretches that wait to be aligned, and of those that are aligned together.
 WAITING, CELLS = 1 << 18, 1 << 14
 #: Characters of the texts that are taken apart together, and of the pieces in which they are hashed.
-CHARS, PIECE = 1 << 21, 1 << 17
+CHARS, PIECE = 1 << 19, 1 << 17
 #: Items that are searched for in one pass over the documents, and words of them; words of an item that are aligned as one.
 ITEMS_AT_ONCE, ITEM_WORDS, LONGEST = 20_000, 1 << 20, 1 << 14
 
@@ -480,7 +481,9 @@ def frequencies(source: DataFrame, searcher: Searcher) -> tuple[np.ndarray, np.n
 def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
     """Passages of the documents, joined to items by seed, and aligned.
 
-    The join is with a broadcast table, so the passages of a document stay together and in order up to the alignment.
+    The passages are written first, so a task never needs two Python workers at a time, and the number of a row is fixed. The
+    join is with a broadcast table, so the passages of a document mostly stay together up to the alignment; the best of
+    a document whose passages were read by several tasks is taken at the end, over the few rows that are found.
     """
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(searcher)
@@ -490,7 +493,7 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
     def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_memory()
         s = shared.value
-        before = 0
+        before = TaskContext.get().partitionId() << 40
         for part in parts:
             texts = part.column(1).to_pylist()
             for a, b in groups(texts):
@@ -512,7 +515,7 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_memory()
         s = shared.value
-        ids: list = []
+        ids: list[tuple] = []
         waiting: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         size, last = 0, None
 
@@ -522,8 +525,9 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
             for k, item, *values in rows:
                 best[k, s.ids[item]] = max(tuple(values), best.get((k, s.ids[item]), (0.0,)))
             cols = list(zip(*best.values(), strict=True)) or [[], [], [], []]
-            columns = [pa.array([ids[k] for k, _ in best], id_type), pa.array([i for _, i in best], pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "equal_words", "begin", "end"])
+            columns = [pa.array([ids[k][0] for k, _ in best], pa.int64()), pa.array([ids[k][1] for k, _ in best], id_type), pa.array([i for _, i in best], pa.int64())]
+            columns += [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "item_id", "score", "equal_words", "begin", "end"])
 
         for part in parts:
             id_type = part.schema.field("doc_id").type
@@ -535,7 +539,7 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
                         yield done()
                         ids, size = [], 0
                         waiting.clear()
-                    ids.append(doc_id)
+                    ids.append((row, doc_id))
                     last = row
                 stretch = flat[offsets[n] : offsets[n + 1]].astype(np.int64)
                 waiting.setdefault(item, {}).setdefault(len(ids) - 1, []).append((begin, stretch))
@@ -546,8 +550,10 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
     id_kind = source.schema["doc_id"].dataType.simpleString()
     passages = source.mapInArrow(take, f"row bigint, doc_id {id_kind}, begin bigint, words array<int>, seed bigint, item bigint")
     seeds = spark.createDataFrame([(int(a), int(b)) for a, b in zip(searcher.seeds, searcher.seed_items, strict=True)], "seed bigint, seed_item bigint")
-    joined = passages.join(F.broadcast(seeds), "seed", "left")
-    return joined.select("row", "doc_id", "begin", "words", F.coalesce("item", "seed_item").alias("item")).mapInArrow(score, kind)
+    joined = table(passages, "passages").join(F.broadcast(seeds), "seed", "left")
+    scores = joined.select("row", "doc_id", "begin", "words", F.coalesce("item", "seed_item").alias("item")).mapInArrow(score, f"row bigint, {kind}")
+    best = F.max(F.struct("score", "equal_words", "begin", "end")).alias("best")
+    return scores.groupBy("row", "item_id").agg(F.first("doc_id").alias("doc_id"), best).select("doc_id", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
