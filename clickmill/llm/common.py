@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from clickmill.session import scratch_path
 
 
-#: Rows of a batch that goes to a Python worker.
-BATCH_ROWS = 1000
+#: Rows, and bytes, of a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,8 +32,10 @@ def ship(spark: SparkSession) -> None:
     if home not in paths:
         env["PYTHONPATH"] = os.pathsep.join([home, *paths])
     # Batches of documents are held by the JVM and by the worker, for each task at a time.
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, **columns) -> DataFrame:
+    """A table of the driver's numbers, 64 bits each. It goes to Spark as Arrow, since lists of rows would start Python workers of
+    another kind in every executor, next to those of the operators."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.int64()) for name, values in columns.items()}))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`table` that no later plan reads."""
     for df in tables:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_memory, ship, spans, table
+from .common import one_memory, ship, small_table, spans, table
 
 #: Words of a seed, which is also the fewest words of an item that is looked for; seeds of an item, its rarest n-grams.
 SEED, SEEDS = 3, 8
@@ -435,8 +435,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema[item_col].dataType.simpleString()}, score double, equal_words bigint, begin bigint, end bigint"
-    out: DataFrame = spark.createDataFrame([], kind)
+    types = {"doc_id": source.schema["doc_id"].dataType.simpleString(), "item_id": benchmark.schema[item_col].dataType.simpleString()}
+    types |= {"score": "double", "equal_words": "bigint", "begin": "bigint", "end": "bigint"}
+    kind = ", ".join(f"{name} {of}" for name, of in types.items())
+    out: DataFrame = spark.range(0).select(*(F.lit(None).cast(of).alias(name) for name, of in types.items()))
     for block in item_blocks(benchmark, item_col, item_text_col, items_at_once):
         searcher = Searcher(block)
         words, grams = frequencies(source, searcher)
@@ -549,7 +551,7 @@ def found_in(source: DataFrame, searcher: Searcher, kind: str) -> DataFrame:
 
     id_kind = source.schema["doc_id"].dataType.simpleString()
     passages = source.mapInArrow(take, f"row bigint, doc_id {id_kind}, begin bigint, words array<int>, seed bigint, item bigint")
-    seeds = spark.createDataFrame([(int(a), int(b)) for a, b in zip(searcher.seeds, searcher.seed_items, strict=True)], "seed bigint, seed_item bigint")
+    seeds = small_table(spark, seed=searcher.seeds, seed_item=searcher.seed_items)
     joined = table(passages, "passages").join(F.broadcast(seeds), "seed", "left")
     scores = joined.select("row", "doc_id", "begin", "words", F.coalesce("item", "seed_item").alias("item")).mapInArrow(score, f"row bigint, {kind}")
     best = F.max(F.struct("score", "equal_words", "begin", "end")).alias("best")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clickmill.session import scratch_path
 
-from .common import one_memory, runs, ship, table
+from .common import one_memory, runs, ship, small_table, table
 from .encode import encoder
 from .hashindex import look_up, mix, pack
 
@@ -121,7 +121,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
         start += r.ids
         same = (r.high.doc_id,) == (r.low.doc_id,)
         carried = ((r.high.doc_id,), r.high.nth + 1 + (before if same else 0))
-    shards = spark.createDataFrame(rows, "shard int, base bigint, first_id bigint, before bigint")
+    columns = zip(("shard", "base", "first_id", "before"), zip(*rows, strict=True) if rows else [[]] * 4, strict=True)
+    shards = small_table(spark, **{name: list(values) for name, values in columns}).withColumn("shard", F.col("shard").cast("int"))
     entries = local.join(F.broadcast(shards), "shard")
     entries = entries.withColumn("nth", F.col("nth") + F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.col("before")).otherwise(0))
     buckets = max(1, -(-local.count() // KEYS_PER_INDEX))
