@@ -128,7 +128,10 @@ def add_latent_vectors(
     # Topics of the pairs are independent jobs, a few at a time; matrices are factored together.
     if spec.method == "lda":
         with ThreadPoolExecutor(PAIRS_AT_ONCE) as pool:
-            tables = dict(zip(spec.pairs, pool.map(inheritable_thread_target(clicks.sparkSession)(fitted), spec.pairs)))
+            # The wrapper copies the caller's local properties once, so every pair has one of its own: in a shared copy
+            # threads overwrite and clear the execution ids that Spark keeps there.
+            runs = [pool.submit(inheritable_thread_target(clicks.sparkSession)(fitted), pair) for pair in spec.pairs]
+            tables = {pair: run.result() for pair, run in zip(spec.pairs, runs)}
     else:
         tables = latent_tables(clicks, spec, compat)
     names = []

@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -106,6 +107,29 @@ def test_lda_shares_sum_to_one_and_are_repeatable(spark):
     assert all(np.allclose([r[n] for n in names], [again[r.row_id][n] for n in names], atol=1e-5) for r in first)
 
 
+def test_pairs_fitted_at_once_have_local_properties_of_their_own(spark, monkeypatch):
+    clicks, _ = wide_clicks(spark)
+    spec = replace(latent.SPECS["komaki_lda_5_mindf_1"], pairs=tuple(latent.pairs()[: 2 * latent.PAIRS_AT_ONCE]))
+    context, together, seen = spark.sparkContext, threading.Barrier(latent.PAIRS_AT_ONCE), {}
+
+    def noted(clicks, doc, term, *rest):
+        before = context.getLocalProperty("pair")
+        context.setLocalProperty("pair", f"{doc} {term}")
+        together.wait(120)  # all threads have set theirs
+        seen[doc, term] = (context.getLocalProperty("caller"), before, context.getLocalProperty("pair"))
+        together.wait(120)
+        return clicks.select(F.col(doc).alias("doc"), F.array_repeat(F.lit(0.2), spec.width).alias("f")).distinct()
+
+    monkeypatch.setattr(latent, "latent_table", noted)
+    context.setLocalProperty("caller", "test")
+    try:
+        latent.add_latent_vectors(clicks, spec)
+        assert context.getLocalProperty("pair") is None
+    finally:
+        context.setLocalProperty("caller", None)
+    assert seen == {(doc, term): ("test", None, f"{doc} {term}") for doc, term in spec.pairs}
+
+
 def test_one_hot_scores_match_a_dense_svd(spark):
     clicks, rows = wide_clicks(spark)
     for weighted in (False, True):
