@@ -170,6 +170,40 @@ def test_long_vocabularies_are_fitted_by_joins(spark, monkeypatch):
     assert kind in ([0, 1] * 10, [1, 0] * 10)
 
 
+def test_documents_with_equal_words_are_fitted_once(spark, monkeypatch):
+    # 300 documents of 3 kinds: each kind is one row of the fit, and its documents have the same shares to the last digit.
+    rows = [(d, w, 1 + (d % 3) * w) for d in range(300) for w in range(4) if w != d % 3]
+    terms = spark.createDataFrame(rows, "doc int, term int, tf bigint")
+    docs = spark.createDataFrame([(d,) for d in range(301)], "doc int")
+    fitted, sums = [], topics._word_sums
+    monkeypatch.setattr(topics, "_word_sums", lambda kinds, now: fitted.append(kinds.count()) or sums(kinds, now))
+    got = {r.doc: r.f for r in topics.topic_mixtures(terms, docs, 30).collect()}
+    assert fitted == [3] * topics.PASSES
+    assert len(got) == 301 and got[300] == [1 / 30] * 30
+    assert len({tuple(got[d]) for d in range(300)}) == 3 and all(got[d] == got[d % 3] for d in range(300))
+    assert all(abs(sum(f) - 1) < 1e-9 and min(f) > 0 for f in got.values())
+
+
+def test_online_topics_are_those_of_plain_passes(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 4, (12, 7)) * (rng.random((12, 7)) < 0.7)
+    counts[:, 0] += 1
+    rows = [(d, 10 * w, int(counts[d, w])) for d, w in zip(*counts.nonzero())]
+    terms = spark.createDataFrame([(int(d), int(w), n) for d, w, n in rows], "doc int, term int, tf bigint")
+    monkeypatch.setattr(topics, "PIECE", 2)  # sums of words come in pieces, added up in tasks
+    monkeypatch.setattr(topics, "CELLS", 20)  # documents are taken a few at a time
+    got = {r.doc: r.f for r in topics.topic_mixtures(terms, terms.select("doc").distinct(), 3, seed=5).collect()}
+    words = np.random.default_rng(5).gamma(100.0, 0.01, (7, 3))
+    for t in range(1, topics.PASSES + 2):
+        expected = np.exp(topics.digamma(words) - topics.digamma(words.sum(0)))
+        found = topics.document_parameters(counts.astype(float), expected)
+        share = np.exp(topics.digamma(found))
+        given = expected * ((counts / (share @ expected.T)).T @ share)
+        weight = (1.0 + t) ** -0.7
+        words = (1 - weight) * words + weight * (1 / 3 + given)
+    assert np.allclose([got[d] for d in range(12)], found / found.sum(1, keepdims=True), atol=1e-6)
+
+
 def test_digamma():
     # psi(1) = -gamma, psi(1/2) = -gamma - 2 ln 2
     values = topics.digamma(np.array([1.0, 0.5, 10.0]))
