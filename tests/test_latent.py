@@ -204,6 +204,22 @@ def test_online_topics_are_those_of_plain_passes(spark, monkeypatch):
     assert np.allclose([got[d] for d in range(12)], found / found.sum(1, keepdims=True), atol=1e-6)
 
 
+@pytest.mark.parametrize("size", [1, 3, 60, 100_000])
+def test_documents_of_any_length_settle_in_few_updates(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    counts = rng.multinomial(size, rng.dirichlet(np.ones(300)), 4).astype(float)
+    words = rng.gamma(100.0, 0.01, (300, 10))
+    expected = np.exp(topics.digamma(words) - topics.digamma(words.sum(0)))
+    digamma, calls = topics.digamma, []
+    monkeypatch.setattr(topics, "digamma", lambda x: calls.append(1) or digamma(x))
+    found = topics.document_parameters(counts, expected)
+    assert len(calls) < 300  # plain updates of 100,000 words take some thousands
+    share = np.exp(digamma(found))
+    again = 0.1 + share * ((counts / (share @ expected.T)) @ expected)
+    assert (np.abs(again - found).mean(1) < 2 * topics.SETTLED).all()
+    assert np.allclose(found.sum(1), size + 1, atol=0.1)
+
+
 def test_digamma():
     # psi(1) = -gamma, psi(1/2) = -gamma - 2 ln 2
     values = topics.digamma(np.array([1.0, 0.5, 10.0]))
