@@ -157,6 +157,17 @@ def test_user_and_item_topics(spark):
         assert abs(sum(r[f"ItemUserLDA_{i}"] for i in range(3)) - 1) < 1e-4
 
 
+def test_users_with_equal_apps_have_equal_topics(spark):
+    clicks, rows = wide_clicks(spark)
+    apps = {}
+    for r in rows:
+        apps.setdefault((r[1], r[3], r[4], r[5]), []).append(r[2])
+    seen = {}
+    for r in latent.add_user_item_lda(clicks, k=3).collect():
+        seen.setdefault(tuple(sorted(apps[r.ip, r.device, r.os, r.channel])), set()).add(tuple(r[f"UserItemLDA_{i}"] for i in range(3)))
+    assert all(len(found) == 1 for found in seen.values())
+
+
 def test_long_vocabularies_are_fitted_by_joins(spark, monkeypatch):
     # Two kinds of documents with words of their own: shares must tell them apart.
     rows = [(d, 100 + 20 * (d % 2) + w, 1 + (d + w) % 3) for d in range(20) for w in range(0, 20, 1 + d % 4)]
