@@ -8,6 +8,7 @@ from clickmill.functions.keys import feature_column
 from clickmill.operators.attribution import KINDS, add_median_attribute_time
 from clickmill.operators.basic import add_basic_counts
 from clickmill.operators.duplicates import add_duplicate_row_index_diff
+from clickmill.operators.frames import add_needs, cell_values, hidden
 
 
 def delays(rows):
@@ -83,3 +84,14 @@ def test_duplicate_runs(spark, chunk_rows):
     assert len(got) == len(rows)
     found = {r.row_id: r.DuplicateRowIndexDiff for r in got if not math.isnan(r.DuplicateRowIndexDiff)}
     assert found == duplicate_rule(rows)
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_values_asked_by_cells_are_those_of_the_clicks(spark, kind):
+    source = spark.createDataFrame(random_clicks(), SCHEMA).selectExpr("*", "row_id div 37 AS chunk")
+    need, keys = KINDS[kind][1], ["app", "os"]
+    asked = {tuple(r) for r in cell_values(source, "x", keys, need).collect()}
+    rows = add_needs(source, "x", keys, [need], "direct", source).select("chunk", *keys, hidden(need, "x"))
+    want = {tuple(r) for r in rows.collect()}
+    assert want <= asked
+    assert len(asked) <= len(want) * (1 if kind == "all" else 3)

@@ -5,6 +5,7 @@ import re
 import pytest
 from fixtures import SCHEMA, random_clicks
 
+from clickmill.operators import frames
 from clickmill.operators import grouped as G
 from clickmill.operators.attribution import add_median_attribute_time
 from clickmill.operators.basic import add_basic_counts
@@ -54,6 +55,28 @@ def test_medians_by_cells_move_clicks_only_by_chunk(clicks):
     assert moved and all(re.match(r"hashpartitioning\(chunk#\d+L, 8\)", how) for how in moved)
 
 
+@pytest.mark.parametrize("kind", ["all", "past", "past_v2"])
+def test_medians_by_cells_shuffle_the_clicks_once_for_all_masks(clicks, kind):
+    masks = [("app",), ("os",), ("app", "os")]
+    moved = shuffles(add_median_attribute_time(clicks, kind, masks, "cells", 50))
+    # Other rows with row ids are those of labelled clicks, which need click_s and attributed_s, but no is_train.
+    assert len([how for columns, how in moved if "is_train" in columns]) == 1
+    assert sum("is_attributed" in columns and "_n" not in columns for columns, how in moved if "is_train" not in columns) == 0
+
+
+def test_long_logs_are_laid_out_by_their_rows(spark, clicks, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 25)
+    monkeypatch.setattr(frames.layout_parts, "__defaults__", (100,))
+    monkeypatch.setattr(frames.choose_strategies, "__defaults__", (390,))
+    for out in (
+        G.add_grouped_features(clicks, [G.all_click_count()], [("ip",), ("ip", "app")]),
+        add_median_attribute_time(clicks, "past", [("ip",), ("ip", "app")]),
+    ):
+        moved = [how for columns, how in shuffles(out)]
+        assert moved and all(re.match(r"hashpartitioning\(ip#\d+, 16\)", how) for how in moved)
+    assert frames.layout_parts(clicks) == 16  # 400 rows
+
+
 def test_direct_masks_of_one_leading_column_share_a_shuffle(clicks):
     out = G.add_grouped_features(clicks, [G.future_click_count(600), G.all_click_count()], None, "direct")
     assert len(shuffles(out)) == 5
