@@ -186,8 +186,8 @@ def test_documents_with_equal_words_are_fitted_once(spark, monkeypatch):
     rows = [(d, w, 1 + (d % 3) * w) for d in range(300) for w in range(4) if w != d % 3]
     terms = spark.createDataFrame(rows, "doc int, term int, tf bigint")
     docs = spark.createDataFrame([(d,) for d in range(301)], "doc int")
-    fitted, sums = [], topics._word_sums
-    monkeypatch.setattr(topics, "_word_sums", lambda kinds, now: fitted.append(kinds.count()) or sums(kinds, now))
+    fitted, sums = [], topics._sums
+    monkeypatch.setattr(topics, "_sums", lambda kinds, *now: fitted.append(kinds.count()) or sums(kinds, *now))
     got = {r.doc: r.f for r in topics.topic_mixtures(terms, docs, 30).collect()}
     assert fitted == [3] * topics.PASSES
     assert len(got) == 301 and got[300] == [1 / 30] * 30
@@ -204,14 +204,16 @@ def test_online_topics_are_those_of_plain_passes(spark, monkeypatch):
     monkeypatch.setattr(topics, "PIECE", 2)  # sums of words come in pieces, added up in tasks
     monkeypatch.setattr(topics, "CELLS", 20)  # documents are taken a few at a time
     got = {r.doc: r.f for r in topics.topic_mixtures(terms, terms.select("doc").distinct(), 3, seed=5).collect()}
-    words = np.random.default_rng(5).gamma(100.0, 0.01, (7, 3))
+    words, prior = np.random.default_rng(5).gamma(100.0, 0.01, (7, 3)), np.full(3, 1 / 3)
     for t in range(1, topics.PASSES + 2):
         expected = np.exp(topics.digamma(words) - topics.digamma(words.sum(0)))
-        found = topics.document_parameters(counts.astype(float), expected)
+        found = topics.document_parameters(counts.astype(float), expected, prior)
         share = np.exp(topics.digamma(found))
+        logs = (topics.digamma(found) - topics.digamma(found.sum(1, keepdims=True))).mean(0)
         given = expected * ((counts / (share @ expected.T)).T @ share)
         weight = (1.0 + t) ** -0.7
         words = (1 - weight) * words + weight * (1 / 3 + given)
+        prior = topics.next_prior(prior, logs, weight)
     assert np.allclose([got[d] for d in range(12)], found / found.sum(1, keepdims=True), atol=1e-6)
 
 
@@ -223,7 +225,7 @@ def test_documents_of_any_length_settle_in_few_updates(monkeypatch, size):
     expected = np.exp(topics.digamma(words) - topics.digamma(words.sum(0)))
     digamma, calls = topics.digamma, []
     monkeypatch.setattr(topics, "digamma", lambda x: calls.append(1) or digamma(x))
-    found = topics.document_parameters(counts, expected)
+    found = topics.document_parameters(counts, expected, np.full(10, 0.1))
     assert len(calls) < 300  # plain updates of 100,000 words take some thousands
     share = np.exp(digamma(found))
     again = 0.1 + share * ((counts / (share @ expected.T)) @ expected)
@@ -231,6 +233,16 @@ def test_documents_of_any_length_settle_in_few_updates(monkeypatch, size):
     assert np.allclose(found.sum(1), size + 1, atol=0.1)
 
 
+def test_priors_follow_the_documents():
+    rng = np.random.default_rng(1)
+    true, prior = np.array([0.3, 1.0, 4.0]), np.full(3, 1 / 3)
+    logs = np.log(rng.dirichlet(true, 200_000) + 1e-300).mean(0)
+    for _ in range(30):
+        prior = topics.next_prior(prior, logs, 0.6)
+    assert np.allclose(prior, true, rtol=0.02)
+    assert np.allclose(topics.trigamma(np.array([1.0, 0.5])), [np.pi**2 / 6, np.pi**2 / 2], atol=1e-6)
+
+
 def test_digamma():
     # psi(1) = -gamma, psi(1/2) = -gamma - 2 ln 2
     values = topics.digamma(np.array([1.0, 0.5, 10.0]))
